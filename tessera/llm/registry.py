@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, mixing, token_files
+from . import decontaminate, jaccard, language, mixing, token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
     return {
+        "op3_jaccard_join": jaccard.op3_jaccard_join,
+        "op6_language_id": language.op6_language_id,
         "op7_decontamination": decontaminate.op7_decontamination,
         "op8_mixing": mixing.op8_mixing,
         "op9_token_files": token_files.op9_token_files,
@@ -20,4 +22,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_decontamination": decontaminate.OP7_SQL, "op8_mixing": mixing.OP8_SQL}
+    return {"op3_jaccard_join": jaccard.OP3_SQL, "op7_decontamination": decontaminate.OP7_SQL, "op8_mixing": mixing.OP8_SQL}
