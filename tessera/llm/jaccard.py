@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,8 +40,9 @@ BLOCK, SEEN = 4_000_000, 8
 TABLE = 1_000_000
 #: Reported count from which a token counts as frequent.
 FREQUENT = 64
-#: Estimated candidates from which l grows to 2, 3 and 4.
-COSTS = (256, 1024, 4096)
+#: l begins at 2 and grows by 1 for so many tokens of the set (a longer text costs more to verify), and is
+#: doubled, tripled, ... from so many estimated candidates.
+TOKENS_A_MATCH, COSTS = 64, (256, 1024, 4096)
 
 
 def doc_sets(batch: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -124,8 +126,9 @@ def _prefixes(k: int, num: int, den: int, frequent):
                 h, c = h[order], c[order]
                 slack = n - _ceil_share(n, num, den)
                 total = np.concatenate([[0], np.cumsum(c)])
-                cost = total[np.minimum(b[:-1] + slack + 1, b[1:])] - total[b[:-1]]
-                level = np.minimum(1 + np.searchsorted(np.array(COSTS), cost, "right"), np.maximum(n - slack, 1))
+                base = 2 + n // TOKENS_A_MATCH
+                cost = total[np.minimum(b[:-1] + slack + base, b[1:])] - total[b[:-1]]
+                level = np.minimum(base * (1 + np.searchsorted(np.array(COSTS), cost, "right")), np.maximum(n - slack, 1))
                 length = np.minimum(slack + level, n)
                 offsets = np.concatenate([[0], np.cumsum(length)])
                 take = np.repeat(b[:-1] - offsets[:-1], length) + np.arange(offsets[-1])
@@ -135,22 +138,29 @@ def _prefixes(k: int, num: int, den: int, frequent):
     return run
 
 
-def _packed(k: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in K.slices(whole, "text"):
-                h, b = doc_sets(batch, k)
-                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([h[x:y].tobytes() for x, y in zip(b[:-1], b[1:], strict=True)], pa.binary())], ["id", "tokens"])
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts compressed: a third of what their hashes take when they travel to be compared."""
+    press = zstandard.ZstdCompressor(level=6)
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([press.compress(t.as_py().encode()) for t in batch.column("text")], pa.binary())], ["id", "z"])
 
-    return run
 
+def _compare(k: int, num: int, den: int):
+    """Pairs whose whole sets are similar. Rows come sorted by b, whose set is kept for its next row."""
 
-def _compare(num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        plain = zstandard.ZstdDecompressor()
+        last, q = None, np.zeros(0, np.uint64)
+
+        def tokens(z: bytes) -> np.ndarray:
+            return doc_sets(pa.RecordBatch.from_arrays([pa.array([plain.decompress(z).decode()])], ["text"]), k)[0]
+
         for batch in batches:
             keep = []
-            for i, (x, y) in enumerate(zip(batch.column("s"), batch.column("t"), strict=True)):
-                p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+            for i, (b, x, y) in enumerate(zip(batch.column("b").to_pylist(), batch.column("s"), batch.column("t"), strict=True)):
+                if b != last:
+                    last, q = b, tokens(y.as_py())
+                p = tokens(x.as_py())
                 at = np.minimum(np.searchsorted(q, p), len(q) - 1)
                 both = int((q[at] == p).sum())
                 if den * both >= num * (len(p) + len(q) - both):
@@ -188,14 +198,14 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     shared = scratch.save(entries.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select(F.col("token").alias("k")), "shared")
     entries = scratch.save(entries.join(shared, F.col("token") == F.col("k")).select("token", "id", "n", "l", (F.col("pos") - (F.col("n") - F.floor((F.col("n") * num + den - 1) / den))).alias("depth")), "entries")
     needed = scratch.save(entries.select(F.col("id").alias("r")).distinct(), "needed")
-    sets = scratch.save(rows.join(needed, F.col("id") == F.col("r"), "left_semi").mapInArrow(_packed(words), "id long, tokens binary"), "sets")
+    texts = scratch.save(rows.join(needed, F.col("id") == F.col("r"), "left_semi").mapInArrow(_pack, "id long, z binary"), "texts")
     scratch.drop(prefix, shared, needed, counted)
 
     def verify(pairs: DataFrame) -> DataFrame:
-        one = sets.select(F.col("id").alias("i"), F.col("tokens").alias("s"))
-        two = sets.select(F.col("id").alias("j"), F.col("tokens").alias("t"))
+        one = texts.select(F.col("id").alias("i"), F.col("z").alias("s"))
+        two = texts.select(F.col("id").alias("j"), F.col("z").alias("t"))
         with_a = pairs.join(one, F.col("a") == F.col("i")).select("a", "b", "s")
-        return with_a.join(two, F.col("b") == F.col("j")).select("a", "b", "s", "t").mapInArrow(_compare(num, den), "a long, b long")
+        return with_a.join(two, F.col("b") == F.col("j")).select("a", "b", "s", "t").mapInArrow(_compare(words, num, den), "a long, b long")
 
     def close(n1: str, n2: str):
         return F.least(n1, n2) * den >= F.greatest(n1, n2) * num
@@ -204,7 +214,7 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     for seed in (None, 1):
         labelled, apart = _apart(entries, stars, seed, scratch)
         cand = labelled.join(apart, F.col("token") == F.col("k")).where((F.col("label") != F.col("lead.label")) & close("n", "lead.n"))
-        cand = cand.groupBy("id", F.col("lead.id").alias("leader")).agg(F.count("*").alias("c"))
+        cand = cand.groupBy("id", F.col("lead.id").alias("leader")).agg(F.count("*").alias("c"), F.first("l").alias("l")).where("2 * c >= l")
         best = scratch.save(cand.groupBy(F.col("id").alias("a")).agg(F.max(F.struct("c", "leader")).alias("m")).select("a", F.col("m.leader").alias("b")), "pairs")
         stars = _grow(stars, verify(best), scratch)
         scratch.drop(best)
@@ -216,7 +226,7 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     pairs = pairs.groupBy(F.col("id_x").alias("a"), F.col("id_y").alias("b"), l.alias("l")).agg(F.count("*").alias("c")).where("c >= l").select("a", "b")
     pairs = scratch.save(pairs, "pairs")
     stars = _grow(stars, verify(pairs), scratch)
-    scratch.drop(entries, sets, open_, pairs)
+    scratch.drop(entries, texts, open_, pairs)
 
     found = sizes.join(classes.select(F.col("f1").alias("g1"), F.col("f2").alias("g2"), F.col("n").alias("m"), "rep"), (F.col("f1") == F.col("g1")) & (F.col("f2") == F.col("g2")) & (F.col("n") == F.col("m")), "left")
     found = scratch.save(found.select("id", "n", F.when(F.col("id").isNotNull(), F.coalesce("rep", "id")).alias("rep")), "found")
