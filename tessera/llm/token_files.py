@@ -11,9 +11,10 @@ Writing: documents are range-partitioned by id and sorted; each task writes file
 own and returns it. Only returned names enter the manifest, so lost or repeated tasks leave nothing
 that counts. What reaches the driver is one row a partition.
 
-Encoding: a chunk that begins with a single space between two other characters always begins a new
-pre-token, so texts are cut there, each different chunk of a batch is encoded once, and ids are put
-together by position. The ids are those of the whole text.
+Encoding: a single space between two other characters always begins a pre-token of byte-level BPE, and
+a single line feed there is one, so texts are cut at them, each different word is encoded once by the library and ids are put
+together by position. Texts with any other white space, or with a special token's string, are encoded
+whole. The ids are those of the whole text either way.
 
 Defined results: a null or empty text holds only the end id; rows with equal ids follow each other in
 order of text, a null id comes last; an empty table gives a manifest without partitions; only the id
@@ -26,6 +27,7 @@ import json
 import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,9 +41,11 @@ from .common import partitions, shared_dir, table
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
-_CUT = re.compile(r"(?<=\S)(?= \S)")
+#: White space other than a single space or line feed between two other characters.
+_ODD_SPACE = re.compile(r"[^\S \n]|[ \n][ \n]|^[ \n]|[ \n]\Z")
+_MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Chunks that a worker remembers between batches.
-REMEMBER = 200_000
+REMEMBER = 1_200_000
 #: Stands for a null id in the files.
 NO_ID = -(1 << 63)
 
@@ -49,7 +53,7 @@ _encoders: dict = {}
 
 
 class Encoder:
-    """Whole-text ids from each different chunk's ids."""
+    """Whole-text ids, put together from the ids of each different word."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -59,18 +63,59 @@ class Encoder:
         #: Special strings would be found across a cut; texts that hold one are encoded whole.
         special = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(special)) if special else None
-        self.known: dict[str, np.ndarray] = {}
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.known) > REMEMBER:
-            self.known.clear()
-        whole = {i for i, t in enumerate(texts) if self.special and self.special.search(t)}
-        chunks = [[t] if i in whole else _CUT.split(t) if t else [] for i, t in enumerate(texts)]
-        new = list({c for cs in chunks for c in cs} - self.known.keys())
-        for c, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.known[c] = np.array(e.ids, np.uint32)
-        known, none = self.known, np.zeros(0, np.uint32)
-        return [np.concatenate([known[c] for c in cs]) if cs else none for cs in chunks]
+        #: Little-endian 4-byte ids of a chunk at the begin of a line, and of one after a single space.
+        self.first: dict[str, bytes] = {}
+        self.spaced: dict[str, bytes] = {}
+
+    def _ids(self, chunks: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+
+    def _learn(self, known: dict[str, bytes], lead: str, new: set[str]) -> None:
+        """Marks after a letter or digit are a pre-token of their own, so words are learned without them."""
+        cut = {}
+        for c in new:
+            base = c.rstrip(_MARKS)
+            cut[c] = base if base and base != c and base[-1].isalnum() else c
+        words = [w for w in set(cut.values()) if w not in known]
+        for w, ids in zip(words, self._ids([lead + w for w in words]), strict=True):
+            known[w] = ids
+        tails = list({c[len(w) :] for c, w in cut.items() if w != c} - self.first.keys())
+        for t, ids in zip(tails, self._ids(tails), strict=True):
+            self.first[t] = ids
+        for c, w in cut.items():
+            if w != c:
+                known[c] = known[w] + self.first[c[len(w) :]]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """4-byte ids of each text."""
+        if len(self.first) + len(self.spaced) > REMEMBER:
+            self.first.clear()
+            self.spaced.clear()
+        lines: list[list[list[str]] | None] = []
+        whole = []
+        for i, t in enumerate(texts):
+            if not t or _ODD_SPACE.search(t) or self.special and self.special.search(t):
+                lines.append(None)
+                if t:
+                    whole.append(i)
+            else:
+                lines.append([x.split(" ") for x in t.split("\n")])
+        done = dict(zip(whole, self._ids([texts[i] for i in whole]), strict=True))
+        heads = {x[0] for ls in lines if ls for x in ls} - self.first.keys()
+        rest: set[str] = set()
+        for ls in lines:
+            for x in ls or ():
+                rest.update(x[1:])
+        self._learn(self.first, "", heads | {"\n"} - self.first.keys())
+        self._learn(self.spaced, " ", rest - self.spaced.keys())
+        first, spaced, new_line = self.first, self.spaced, self.first["\n"]
+        out = []
+        for i, ls in enumerate(lines):
+            if ls is None:
+                out.append(done.get(i, b""))
+            else:
+                out.append(new_line.join([b"".join([first[x[0]], *map(spaced.__getitem__, x[1:])]) for x in ls]))
+        return out
 
 
 def encoder(path: str) -> Encoder:
@@ -86,6 +131,7 @@ def _open(path: str) -> tuple[fs.FileSystem, str]:
 def _writer(tokenizer: str, out: str, end_id: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, name = encoder(tokenizer), f"part-{uuid.uuid4().hex}"
+        end = np.array([end_id], "<u4").tobytes()
         store, root = _open(out)
         ids_of, lengths, total, sink = [], [], 0, None
         for whole in batches:
@@ -94,8 +140,9 @@ def _writer(tokenizer: str, out: str, end_id: int, width: int):
                     sink = store.open_output_stream(f"{root}/{name}.bin")
                 texts = ["" if t is None else t for t in batch.column("text").to_pylist()]
                 for ids in enc.encode(texts):
-                    sink.write(np.append(ids, np.uint32(end_id)).astype(f"<u{width}").tobytes())
-                    lengths.append(len(ids) + 1)
+                    ids = np.frombuffer(ids + end, "<u4")
+                    sink.write((ids if width == 4 else ids.astype("<u2")).tobytes())
+                    lengths.append(len(ids))
                 ids_of.append(np.asarray(batch.column("id").fill_null(NO_ID)).astype("<i8"))
         if sink is None:
             return
