@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 
 U64 = np.uint64
 #: Bytes of text handled at once. Temporary arrays take about 60 times as much.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 _R = U64(0x9E3779B97F4A7C15 | 1)
 _R_INV = U64(pow(int(_R), -1, 1 << 64))

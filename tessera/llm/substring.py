@@ -36,7 +36,7 @@ from .common import Scratch, table
 WINDOW, GRAM = 20, 10
 SPAN = WINDOW - GRAM  # words of a window beside its anchor; also the largest offset
 #: Entries that a task holds before it sends them on.
-HELD = 1_000_000
+HELD = 300_000
 ENTRIES_A_BUCKET = 250_000
 LAST_ID = (1 << 63) - 1
 BLOBS = "bucket int, kind int, data binary"
