@@ -14,6 +14,12 @@
 5. *Rest.* What the stars left apart is compared in full: all pairs under a token whose components
    differ and that share l prefix tokens are verified on whole sets. No pair that could join two
    components is left out, so the groups are exact; pairs inside a component need no verification.
+   A document's tokens before its l-th shared one that no other prefix holds are *own* tokens: were one
+   in a similar set, it would come before the l-th common token there and so be in that prefix. Own
+   tokens lie outside the intersection, which bounds the similarity of a pair before it is made: the
+   many different edits of one text, which share a token but are not similar, do not meet in pairs.
+   So does a bitmap of the whole set, the parity of its tokens in each of 256 places: two bitmaps differ
+   in at most as many places as their sets have different tokens.
 
 Defined results: a text without words has an empty set and is linked with nothing; fewer words than a
 shingle make one shingle; a null id gets a null group; rows with one id are one node; copies of a
@@ -23,11 +29,13 @@ text are one class; other columns are ignored; an empty table gives no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import kernels as K
@@ -43,6 +51,8 @@ FREQUENT = 64
 #: l begins at 2 and grows by 1 for so many tokens of the set (a longer text costs more to verify), and is
 #: doubled, tripled, ... from so many estimated candidates.
 TOKENS_A_MATCH, COSTS = 64, (256, 1024, 4096)
+#: Columns of a set's bitmap.
+BITS = ("b0", "b1", "b2", "b3")
 
 
 def doc_sets(batch: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -108,7 +118,7 @@ def _ceil_share(n: np.ndarray, num: int, den: int) -> np.ndarray:
 
 
 def _prefixes(k: int, num: int, den: int, frequent):
-    """(id, n, l, tokens): the tokens of each prefix, in order."""
+    """(id, n, l, tokens, b0 to b3): the tokens of each prefix, in order, and the bitmap of the set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, counts = frequent.value
@@ -122,6 +132,9 @@ def _prefixes(k: int, num: int, den: int, frequent):
                 else:
                     c = np.zeros(len(h), np.int64)
                 doc = np.repeat(np.arange(len(n)), n)
+                bits = np.zeros((len(n), 4), np.uint64)
+                place = K.mix(h ^ K.seeded(5))
+                np.bitwise_xor.at(bits, (doc, (place >> np.uint64(6)) & np.uint64(3)), np.uint64(1) << (place & np.uint64(63)))
                 order = np.lexsort((h, c, doc))
                 h, c = h[order], c[order]
                 slack = n - _ceil_share(n, num, den)
@@ -133,7 +146,8 @@ def _prefixes(k: int, num: int, den: int, frequent):
                 offsets = np.concatenate([[0], np.cumsum(length)])
                 take = np.repeat(b[:-1] - offsets[:-1], length) + np.arange(offsets[-1])
                 lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(h[take].view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n, pa.int64()), pa.array(level, pa.int64()), lists], ["id", "n", "l", "tokens"])
+                parity = [pa.array(np.ascontiguousarray(x).view(np.int64)) for x in bits.T]
+                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n, pa.int64()), pa.array(level, pa.int64()), lists, *parity], ["id", "n", "l", "tokens", *BITS])
 
     return run
 
@@ -193,10 +207,14 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     order = np.argsort(token)
     frequent = spark.sparkContext.broadcast((token[order], kept["c"].to_numpy(np.int64)[order]))
 
-    prefix = scratch.save(rows.mapInArrow(_prefixes(words, num, den, frequent), "id long, n long, l long, tokens array<long>"), "prefix")
-    entries = prefix.join(reps, F.col("id") == F.col("r"), "left_semi").select("id", "n", "l", F.posexplode("tokens").alias("pos", "token"))
+    prefix = scratch.save(rows.mapInArrow(_prefixes(words, num, den, frequent), "id long, n long, l long, tokens array<long>, b0 long, b1 long, b2 long, b3 long"), "prefix")
+    entries = prefix.join(reps, F.col("id") == F.col("r"), "left_semi").select("id", "n", "l", *BITS, F.posexplode("tokens").alias("pos", "token"))
     shared = scratch.save(entries.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select(F.col("token").alias("k")), "shared")
-    entries = scratch.save(entries.join(shared, F.col("token") == F.col("k")).select("token", "id", "n", "l", (F.col("pos") - (F.col("n") - F.floor((F.col("n") * num + den - 1) / den))).alias("depth")), "entries")
+    entries = entries.join(shared, F.col("token") == F.col("k")).withColumn("nth", F.row_number().over(Window.partitionBy("id").orderBy("pos")))
+    of_id = Window.partitionBy("id")
+    own = F.coalesce(F.max(F.when(F.col("nth") == F.col("l"), F.col("pos"))).over(of_id) - F.col("l") + 1, F.col("n")).alias("own")
+    depth = (F.col("pos") - (F.col("n") - F.floor((F.col("n") * num + den - 1) / den))).alias("depth")
+    entries = scratch.save(entries.select("token", "id", "n", "l", depth, own, F.min("pos").over(of_id).cast("long").alias("own1"), *BITS), "entries")
     needed = scratch.save(entries.select(F.col("id").alias("r")).distinct(), "needed")
     texts = scratch.save(rows.join(needed, F.col("id") == F.col("r"), "left_semi").mapInArrow(_pack, "id long, z binary"), "texts")
     scratch.drop(prefix, shared, needed, counted)
@@ -210,20 +228,37 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def close(n1: str, n2: str):
         return F.least(n1, n2) * den >= F.greatest(n1, n2) * num
 
+    def overlap(n1: str, n2: str):
+        """Least intersection of two similar sets of these sizes."""
+        return F.floor(((F.col(n1) + F.col(n2)) * num + num + den - 1) / (num + den))
+
+    def near(n1: str, n2: str, bits1: list[str], bits2: list[str]):
+        """Whether two sets may differ in so few tokens that they are similar."""
+        apart = reduce(add, (F.bit_count(F.col(x).bitwiseXOR(F.col(y))) for x, y in zip(bits1, bits2, strict=True)))
+        return (F.col(n1) + F.col(n2)) * (den - num) >= apart * (den + num)
+
     stars = spark.createDataFrame([], "node long, label long")
     for seed in (None, 1):
         labelled, apart = _apart(entries, stars, seed, scratch)
-        cand = labelled.join(apart, F.col("token") == F.col("k")).where((F.col("label") != F.col("lead.label")) & close("n", "lead.n"))
+        cand = labelled.join(apart, F.col("token") == F.col("k")).where((F.col("label") != F.col("lead.label")) & close("n", "lead.n") & near("n", "lead.n", BITS, [f"lead.{b}" for b in BITS]))
         cand = cand.groupBy("id", F.col("lead.id").alias("leader")).agg(F.count("*").alias("c"), F.first("l").alias("l")).where("2 * c >= l")
         best = scratch.save(cand.groupBy(F.col("id").alias("a")).agg(F.max(F.struct("c", "leader")).alias("m")).select("a", F.col("m.leader").alias("b")), "pairs")
         stars = _grow(stars, verify(best), scratch)
         scratch.drop(best)
     labelled, apart = _apart(entries, stars, 2, scratch)
     open_ = scratch.save(labelled.join(apart.select("k"), F.col("token") == F.col("k"), "left_semi"), "open")
-    x, y = (open_.select(*[F.col(c).alias(f"{c}_{s}") for c in ("token", "id", "n", "l", "depth", "label")]) for s in "xy")
-    l = F.least("l_x", "l_y")  # noqa: E741
-    pairs = x.join(y, (F.col("token_x") == F.col("token_y")) & (F.col("id_x") < F.col("id_y")) & (F.col("label_x") != F.col("label_y")) & close("n_x", "n_y") & (F.col("depth_x") < l) & (F.col("depth_y") < l))
-    pairs = pairs.groupBy(F.col("id_x").alias("a"), F.col("id_y").alias("b"), l.alias("l")).agg(F.count("*").alias("c")).where("c >= l").select("a", "b")
+    slack = F.col("n") - F.floor((F.col("n") * num + den - 1) / den)
+    x, y = (open_.withColumn("reach", F.col("l") + slack).withColumn("pos", F.col("depth") + slack).select(*[F.col(c).alias(f"{c}_{s}") for c in ("token", "id", "n", "l", "reach", "pos", "own", "own1", "label", *BITS)]) for s in "xy")
+    similar = near("n_x", "n_y", [f"{b}_x" for b in BITS], [f"{b}_y" for b in BITS])
+    met = x.join(y, (F.col("token_x") == F.col("token_y")) & (F.col("id_x") < F.col("id_y")) & (F.col("label_x") != F.col("label_y")) & close("n_x", "n_y") & similar)
+    # The sizes of a pair give its least overlap; with it a stored prefix reaches beyond l common tokens, to these:
+    met = met.withColumn("least", overlap("n_x", "n_y"))
+    met = met.withColumn("l", F.least(F.col("reach_x") - F.col("n_x"), F.col("reach_y") - F.col("n_y")) + F.col("least"))
+    for s in "xy":
+        over = F.col(f"n_{s}") - F.col("least")
+        own = F.when(F.col(f"l_{s}") <= F.col("l"), F.col(f"own_{s}")).otherwise(F.col(f"own1_{s}"))
+        met = met.where((F.col(f"pos_{s}") < over + F.col("l")) & (own <= over))
+    pairs = met.groupBy(F.col("id_x").alias("a"), F.col("id_y").alias("b"), "l").agg(F.count("*").alias("c")).where("c >= l").select("a", "b")
     pairs = scratch.save(pairs, "pairs")
     stars = _grow(stars, verify(pairs), scratch)
     scratch.drop(entries, texts, open_, pairs)
@@ -236,11 +271,11 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def _apart(entries: DataFrame, stars: DataFrame, seed: int | None, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """Entries with their component, and the tokens under which components differ, each with a leader: the
-    least document, or by a seed any."""
+    document with the fewest own tokens, or by a seed any."""
     labelled = entries.join(stars, F.col("id") == F.col("node"), "left").select(*entries.columns, F.coalesce("label", "id").alias("label"))
     labelled = scratch.save(labelled, "labelled")
-    key = F.col("id") if seed is None else F.xxhash64("id", F.lit(seed))
-    apart = labelled.groupBy(F.col("token").alias("k")).agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min(F.struct(key.alias("key"), "id", "n", "label")).alias("lead")).where("lo != hi")
+    key = F.col("own") if seed is None else F.xxhash64("id", F.lit(seed))
+    apart = labelled.groupBy(F.col("token").alias("k")).agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min(F.struct(key.alias("key"), "id", "n", "label", *BITS)).alias("lead")).where("lo != hi")
     return labelled, scratch.save(apart.select("k", "lead"), "apart")
 
 
