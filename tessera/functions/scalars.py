@@ -43,7 +43,9 @@ def language_of(path: Column | str) -> Column:
 
 
 def clean_version(raw: Column | str) -> Column:
-    return F.nullif(F.regexp_extract(_c(raw), r"(\d+(?:\.\d+)*)", 1), F.lit(""))
+    """The version behind range signs; what has no such form is only trimmed."""
+    t = F.trim(_c(raw))
+    return F.coalesce(F.nullif(F.regexp_extract(t, r"^[\^~>=<\s]*(\d+\.\d+[\w.\-]*)", 1), F.lit("")), t)
 
 
 def pascal_case(stem: Column | str) -> Column:
@@ -111,12 +113,12 @@ def source_lines(text: Column | str, first: Column, count: int) -> Column:
 
 #: Name prefixes of environment variables by category, the first that fits (fixed values).
 ENV_CATEGORIES = (
-    ("LLM", ("OPENAI", "ANTHROPIC", "GOOGLE_AI", "GEMINI", "AZURE_OPENAI", "OLLAMA", "GROQ", "MISTRAL")),
-    ("AUTH", ("AUTH", "NEXTAUTH", "NEXT_AUTH", "CLERK", "JWT", "OAUTH", "SSO")),
-    ("DATABASE", ("DATABASE", "POSTGRES", "MYSQL", "MONGO", "REDIS", "DB_")),
-    ("S3", ("S3", "AWS", "R2", "MINIO")),
-    ("OBSERVABILITY", ("SENTRY", "LANGFUSE", "OTEL", "DATADOG", "POSTHOG")),
-    ("PUBLIC", ("NEXT_PUBLIC",)),
+    ("LLM", ("OPENAI_", "AZURE_", "ANTHROPIC_", "GOOGLE_", "GROQ_", "MISTRAL_", "PERPLEXITY_", "OLLAMA_", "OPENROUTER_", "ZHIPU_", "MOONSHOT_", "MINIMAX_", "DEEPSEEK_", "QWEN_", "CLOUDFLARE_", "SILICONCLOUD_", "TOGETHERAI_", "ZEROONE_", "AWS_", "FAL_")),
+    ("AUTH", ("NEXT_AUTH_", "NEXT_PUBLIC_CLERK_", "CLERK_", "AUTH_", "NEXTAUTH_")),
+    ("DATABASE", ("DATABASE_", "KEY_VAULTS_", "DB_")),
+    ("S3", ("S3_", "DOC_S3_", "MINIO_")),
+    ("OBSERVABILITY", ("SENTRY_", "POSTHOG_", "VERCEL_ANALYTICS_", "LOGFLARE_", "LOGTO_")),
+    ("PUBLIC", ("NEXT_PUBLIC_",)),
 )
 
 
