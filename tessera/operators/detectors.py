@@ -7,6 +7,8 @@ file) is an ordered probe that aggregates to one row, however many files there a
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +25,12 @@ APP_DIRS, APP_MARKERS = ("src/app", "app"), ("page.tsx", "page.jsx", "layout.tsx
 ENV_EXAMPLES = (".env.example", ".env.local.example", ".env.sample", ".env.template")
 SCRIPT_DIRS, SCRIPT_SKIPPED = ("scripts", "script"), ("node_modules", "__pycache__", ".cache")
 LIB_DIRS, LIB_SKIPPED, LIB_FILES = ("src/libs", "src/lib", "libs", "lib"), ("node_modules", "__pycache__", ".cache", "dist", "build"), 10
+SERVICE_DIRS, HOOK_DIRS = ("services", "lib", "utils"), ("src/hooks", "hooks")
+#: Exports in the source text (fixed values): classes, functions and constants, hooks with their parameters.
+CLASS_EXPORT = r"export\s+(?:default\s+)?(?:abstract\s+)?class\s+([A-Z][A-Za-z0-9_]*)"
+FUNCTION_EXPORT = r"export\s+(?:default\s+)?(?:async\s+)?function\s+([A-Za-z_$][A-Za-z0-9_$]*)\s*[(<]"
+CONST_EXPORT = r"export\s+const\s+([A-Za-z_$][A-Za-z0-9_$]*)\s*(?::[^=\n]+)?\s*="
+HOOK_EXPORTS = (r"export\s+(?:default\s+)?(?:async\s+)?function\s+(use[A-Z][A-Za-z0-9_]*)\s*\(([^)]*)\)", r"export\s+const\s+(use[A-Z][A-Za-z0-9_]*)\s*(?::[^=\n]+)?\s*=\s*\(([^)]*)\)")
 #: Parts of a path that tell the tier of an API route, the first that fits (fixed values).
 TIERS = (("/lambda/", "lambda"), ("/async/", "async"), ("/edge/", "edge"), ("/webapi/", "webapi"), ("/(backend)/api/", "api"), ("/trpc/", "trpc"))
 
@@ -110,8 +118,37 @@ def libs(files: DataFrame) -> DataFrame:
     return found.select("lib", F.concat_ws("/", "root", "lib").alias("path"), "main_files")
 
 
+def services(files: DataFrame) -> DataFrame:
+    """(service, file, exported_functions) of each source file in the service folders: its first exported class,
+    else its name in Pascal case; functions come before constants, each name once."""
+    sources = files.where(F.col("path").rlike(r"[^/]\.tsx?$"))
+    found = reduce(DataFrame.unionByName, [below_first(sources, (f"src/{d}", d)) for d in SERVICE_DIRS])
+    text = F.coalesce("content", F.lit(""))
+    named = F.nullif(F.regexp_extract(text, CLASS_EXPORT, 1), F.lit(""))
+    file_stem = F.regexp_extract("path", r"([^/]+)\.tsx?$", 1)
+    exports = F.array_distinct(F.concat(*[F.regexp_extract_all(text, F.lit(p), F.lit(1)) for p in (FUNCTION_EXPORT, CONST_EXPORT)]))
+    return found.select(F.coalesce(named, S.pascal_case(file_stem)).alias("service"), F.col("path").alias("file"), exports.alias("exported_functions"))
+
+
+def hooks(files: DataFrame) -> DataFrame:
+    """(name, file, parameters) of each exported hook, where it is first seen: .ts before .tsx files, by path."""
+    found = below_first(files, HOOK_DIRS).where(F.col("path").rlike(r"/[^_/][^/]*\.tsx?$"))
+
+    def names(raw: Column) -> Column:
+        bare = F.transform(F.split(raw, ","), lambda x: F.regexp_replace(F.trim(F.split(F.trim(x), r"[=:{\[]")[0]), r"^\.+", ""))
+        return F.filter(bare, lambda x: x.rlike(r"^[a-zA-Z_$][\w$]*$"))
+
+    def hits(pattern: str) -> Column:
+        one = lambda x: F.struct(F.regexp_extract(x, pattern, 1).alias("name"), names(F.regexp_extract(x, pattern, 2)).alias("parameters"))
+        return F.transform(F.regexp_extract_all("content", F.lit(pattern), F.lit(0)), one)
+
+    rows = found.select("path", F.posexplode(F.concat(*map(hits, HOOK_EXPORTS))).alias("at", "hook"))
+    seen = F.struct(F.col("path").endswith("x"), "path", "at")
+    return rows.groupBy(F.col("hook.name").alias("name")).agg(F.min_by("path", seen).alias("file"), F.min_by("hook.parameters", seen).alias("parameters"))
+
+
 #: Detectors by name; a further one is a function from files to a DataFrame.
-DETECTORS = {"framework": framework, "routes": routes, "env_vars": env_vars, "scripts": scripts, "libs": libs}
+DETECTORS = {"framework": framework, "routes": routes, "env_vars": env_vars, "scripts": scripts, "libs": libs, "services": services, "hooks": hooks}
 
 
 def scan_repository(files: DataFrame) -> dict[str, DataFrame]:

@@ -27,6 +27,13 @@ def found(spark):
         ("src/libs/trpc/_own.ts", ""),
         ("src/libs/empty/sub/x.ts", ""),
         ("lib/never/x.ts", ""),
+        ("src/services/auth.service.ts", "export const token: string = 1;\nexport async function logIn(a) {}\nexport function token(b) {}"),
+        ("services/never.ts", ""),
+        ("utils/x.tsx", "export abstract class Tool {}"),
+        ("utils/bad.ts", None),
+        ("hooks/useA.tsx", "export const useB = (x) => x"),
+        ("hooks/useZ.ts", "export default function useZ(a: string, ...rest, { c }) {}\nexport const useB = (y = 2, z) => y"),
+        ("hooks/_own.ts", "export const useOwn = () => 1"),
     ]
     files = spark.createDataFrame(rows, "path string, content string")
     return {k: [tuple(r) for r in df.collect()] for k, df in detectors.scan_repository(files).items()}
@@ -58,6 +65,14 @@ def test_libs(found):
     assert sorted(found["libs"]) == [("empty", "src/libs/empty", []), ("trpc", "src/libs/trpc", ["client.tsx", "server.ts"])]
 
 
+def test_services(found):
+    assert sorted(r for r in found["services"] if r[1] != "lib/never/x.ts") == [("AuthService", "src/services/auth.service.ts", ["logIn", "token"]), ("Bad", "utils/bad.ts", []), ("Tool", "utils/x.tsx", [])]
+
+
+def test_hooks(found):
+    assert sorted(found["hooks"]) == [("useB", "hooks/useZ.ts", ["y", "z"]), ("useZ", "hooks/useZ.ts", ["a", "rest"])]
+
+
 def test_nothing(spark):
     files = spark.createDataFrame([], "path string, content string")
     got = {k: df.collect() for k, df in detectors.scan_repository(files).items()}
