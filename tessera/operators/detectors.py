@@ -121,8 +121,7 @@ def libs(files: DataFrame) -> DataFrame:
 def services(files: DataFrame) -> DataFrame:
     """(service, file, exported_functions) of each source file in the service folders: its first exported class,
     else its name in Pascal case; functions come before constants, each name once."""
-    sources = files.where(F.col("path").rlike(r"[^/]\.tsx?$"))
-    found = reduce(DataFrame.unionByName, [below_first(sources, (f"src/{d}", d)) for d in SERVICE_DIRS])
+    found = reduce(DataFrame.unionByName, [below_first(files, (f"src/{d}", d)) for d in SERVICE_DIRS]).where(F.col("path").rlike(r"[^/]\.tsx?$"))
     text = F.coalesce("content", F.lit(""))
     named = F.nullif(F.regexp_extract(text, CLASS_EXPORT, 1), F.lit(""))
     file_stem = F.regexp_extract("path", r"([^/]+)\.tsx?$", 1)
@@ -145,12 +144,3 @@ def hooks(files: DataFrame) -> DataFrame:
     rows = found.select("path", F.posexplode(F.concat(*map(hits, HOOK_EXPORTS))).alias("at", "hook"))
     seen = F.struct(F.col("path").endswith("x"), "path", "at")
     return rows.groupBy(F.col("hook.name").alias("name")).agg(F.min_by("path", seen).alias("file"), F.min_by("hook.parameters", seen).alias("parameters"))
-
-
-#: Detectors by name; a further one is a function from files to a DataFrame.
-DETECTORS = {"framework": framework, "routes": routes, "env_vars": env_vars, "scripts": scripts, "libs": libs, "services": services, "hooks": hooks}
-
-
-def scan_repository(files: DataFrame) -> dict[str, DataFrame]:
-    """All detectors over the files of a repository, as independent plans."""
-    return {name: detect(files) for name, detect in DETECTORS.items()}

@@ -1,6 +1,6 @@
 import pytest
 
-from tessera.operators import detectors
+from tessera.operators import scanner
 
 
 @pytest.fixture(scope="module")
@@ -36,7 +36,7 @@ def found(spark):
         ("hooks/_own.ts", "export const useOwn = () => 1"),
     ]
     files = spark.createDataFrame(rows, "path string, content string")
-    return {k: [tuple(r) for r in df.collect()] for k, df in detectors.scan_repository(files).items()}
+    return {k: [tuple(r) for r in df.collect()] for k, df in scanner.scan_repository(files).items()}
 
 
 def test_framework(found):
@@ -75,6 +75,10 @@ def test_hooks(found):
 
 def test_nothing(spark):
     files = spark.createDataFrame([], "path string, content string")
-    got = {k: df.collect() for k, df in detectors.scan_repository(files).items()}
+    got = {k: df.collect() for k, df in scanner.scan_repository(files).items()}
     assert tuple(got.pop("framework")[0]) == ("unknown", "JavaScript", False, None, "npm")
+    assert tuple(got.pop("structure")[0]) == ({}, {}, [], [], False, {}, None)
+    assert tuple(got.pop("i18n")[0]) == (None, [], [], 0, [], None)
+    assert tuple(got.pop("auth")[0]) == ([], None, None, [], [], None, [])
+    assert set(map(str, got.pop("packages")[0])) == {"None", "[]", "False"}
     assert not any(got.values())
