@@ -8,7 +8,9 @@ lines are dropped everywhere but for its first occurrence (least document id, th
 
 All documents are parsed in one pass that sends, for each document and different line, its place in the tree and
 16 bits a token. Equal lines are summed before the shuffle, so what reaches a leaf is one row for
-each different line; a leaf with more than ``LEAF`` of them is cut by the next ``DEPTH`` tokens.
+each different line. Leaves of every size are clustered alike: first each of the leaf's ``SLICES`` slices
+(by a hash of the line), in parallel, then the templates of all slices with each other. Templates are looked up
+by the tokens that a line must share with them, which finds the same ones as a comparison with all.
 
 Defined results: null text has no lines, and an empty text one, which is kept; lines of fewer than
 ``MIN_TOKENS`` tokens have no template and are kept; rows with one id count as one document; of equal
@@ -18,6 +20,8 @@ an empty table gives no rows.
 
 from __future__ import annotations
 
+import math
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,12 +30,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import Scratch, table
+from .common import Scratch, partitions, table
 
-MIN_TOKENS, DEPTH, LEAF = 3, 3, 4000
+MIN_TOKENS, DEPTH, SLICES = 3, 3, 16
+#: Lines that a task clusters at once, or more where one slice holds more.
+LINES_A_BUCKET = 20_000
 LAST_ID = (1 << 63) - 1
 _DIGITS = K.byte_class(b"0123456789")
-LINES = "leaf long, sub long, key long, id long, lines array<int>, tokens binary"
+LINES = "leaf long, key long, id long, lines array<int>, tokens binary"
+#: Templates of slices: the key of a template's weightiest line, and the keys of all its lines.
+TEMPLATES = "leaf long, template long, docs long, first_id long, first_line long, tokens binary, keys array<long>"
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -56,12 +64,11 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not len(begin):
                 continue
             with np.errstate(over="ignore"):
-                leaf, sub = count.astype(np.uint64), np.zeros(len(begin), np.uint64)
+                leaf = count.astype(np.uint64)
                 for i in range(DEPTH):
                     leaf = K.mix(leaf * np.uint64(31) + each[begin + i])
-                    sub = K.mix(sub * np.uint64(31) + np.where(DEPTH + i < count, each[np.minimum(begin + DEPTH + i, len(each) - 1)], np.uint64(0)))
             order = np.lexsort((line, key, doc))
-            begin, count, key, doc, line, leaf, sub = (x[order] for x in (begin, count, key, doc, line, leaf, sub))
+            begin, count, key, doc, line, leaf = (x[order] for x in (begin, count, key, doc, line, leaf))
             first = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])))
             lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(key)), pa.int32()), pa.array(line, pa.int32()))
             width = count[first]
@@ -70,44 +77,83 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             short = np.where(token[take] == 0, np.uint64(0), (token[take] >> np.uint64(48)) | np.uint64(1)).astype("<u2")
             tokens = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer((2 * ends).astype(np.int32).tobytes()), pa.py_buffer(short.tobytes())])
             ids = np.asarray(batch.column("id").fill_null(LAST_ID))[doc[first]]
-            yield pa.RecordBatch.from_arrays([pa.array(leaf[first].view(np.int64)), pa.array(sub[first].view(np.int64)), pa.array(key[first].view(np.int64)), pa.array(ids), lists, tokens], ["leaf", "sub", "key", "id", "lines", "tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array(leaf[first].view(np.int64)), pa.array(key[first].view(np.int64)), pa.array(ids), lists, tokens], ["leaf", "key", "id", "lines", "tokens"])
 
 
-def cluster(lines: np.ndarray, similarity: float) -> np.ndarray:
-    """Template number of each line (rows of token hashes, all of one length, the weightiest first); 0 is a variable field."""
+def cluster(lines: np.ndarray, similarity: float, patterns: bool = False) -> np.ndarray | tuple[np.ndarray, np.ndarray]:
+    """Template number of each line (rows of token hashes, all of one length, the weightiest first), and with
+    ``patterns`` the templates; 0 is a variable field."""
     n = lines.shape[1]
+    need = math.ceil(similarity * n)
     templates, out = np.zeros((16, n), np.uint16), np.zeros(len(lines), np.int64)
     used = 0
+    # templates by (position, token); one that agrees in ``need`` positions agrees in one of any n - need + 1
+    posts: defaultdict[tuple[int, int], list[int]] = defaultdict(list)
     for i, x in enumerate(lines):
-        agree = (templates[:used] == x).sum(1)
-        if used and agree.max() >= similarity * n:
-            t = int(agree.argmax())
-            templates[t][templates[t] != x] = 0
+        at = list(enumerate(x.tolist()))
+        few = sorted((posts.get(p, ()) for p in at), key=len)[: n - need + 1]
+        near = np.array(sorted(set().union(*few)), np.int64)
+        agree = (templates[near] == x).sum(1)
+        if len(near) and agree.max() >= need:
+            t = int(near[agree.argmax()])
+            for j in np.flatnonzero((templates[t] != x) & (templates[t] != 0)).tolist():
+                templates[t, j] = 0
+                posts[j, 0].append(t)
         else:
             if used == len(templates):
                 templates = np.concatenate([templates, np.zeros_like(templates)])
             t, used = used, used + 1
             templates[t] = x
+            for p in at:
+                posts[p].append(t)
         out[i] = t
-    return out
+    return (out, templates[:used]) if patterns else out
 
 
-def _leaf(min_docs: int, similarity: float):
+def _groups(table_: pa.Table, by: list[str]) -> Iterator[tuple[dict[str, np.ndarray], np.ndarray]]:
+    """The rows of each group, the weightiest first: columns and tokens."""
+    col = {c: table_.column(c).to_numpy() for c in (*by, "key", "docs", "first_id", "first_line")}
+    tokens = table_.column("tokens").combine_chunks()
+    order = np.lexsort((col["key"], col["first_line"], col["first_id"], -col["docs"], *(col[c] for c in by)))
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for c in by:
+        new[1:] |= col[c][order][1:] != col[c][order][:-1]
+    for at in np.split(order, np.flatnonzero(new)[1:]):
+        yield {c: x[at] for c, x in col.items()}, np.stack([np.frombuffer(tokens[i].as_buffer(), "<u2") for i in at.tolist()])
+
+
+def _slices(similarity: float):
+    def run(table_: pa.Table) -> pa.Table:
+        """Templates of each slice of a leaf, with their lines."""
+        out = []
+        for col, tokens in _groups(table_, ["leaf", "slice"]):
+            which, patterns = cluster(tokens, similarity, patterns=True)
+            order = np.argsort(which, kind="stable")
+            for pattern, rows in zip(patterns, np.split(order, np.flatnonzero(np.diff(which[order])) + 1), strict=True):
+                first = rows[np.lexsort((col["first_line"][rows], col["first_id"][rows]))[0]]
+                out.append((col["leaf"][0], col["key"][rows[0]], col["docs"][rows].sum(), col["first_id"][first], col["first_line"][first], pattern.astype("<u2").tobytes(), col["key"][rows]))
+        columns = list(zip(*out, strict=True))
+        return pa.table({"leaf": pa.array(columns[0], pa.int64()), "template": pa.array(columns[1], pa.int64()), "docs": pa.array(columns[2], pa.int64()), "first_id": pa.array(columns[3], pa.int64()), "first_line": pa.array(columns[4], pa.int64()), "tokens": pa.array(columns[5], pa.binary()), "keys": pa.array(columns[6], pa.list_(pa.int64()))})
+
+    return run
+
+
+def _leaves(min_docs: int, similarity: float):
     def run(table_: pa.Table) -> pa.Table:
-        """One leaf: the lines whose template recurs, with the template's first place."""
-        docs, ids, line = (table_.column(c).to_numpy() for c in ("docs", "first_id", "first_line"))
-        tokens = np.stack([np.frombuffer(x.as_buffer(), "<u2") for x in table_.column("tokens")])
-        order = np.lexsort((line, ids, -docs))
-        which = cluster(tokens[order], similarity)
-        total = np.bincount(which, weights=docs[order])
-        keep_id, keep_line = np.zeros(len(total), np.int64), np.zeros(len(total), np.int64)
-        by_place = order[np.lexsort((line[order], ids[order]))]
-        at = np.zeros(len(order), np.int64)
-        at[order] = which
-        for i in by_place[::-1]:
-            keep_id[at[i]], keep_line[at[i]] = ids[i], line[i]
-        hit = total[at] >= min_docs
-        return pa.table({"k": table_.column("key").to_numpy()[hit], "keep_id": keep_id[at][hit], "keep_line": keep_line[at][hit].astype(np.int32)})
+        """Templates of slices whose template of the leaf recurs, with its first place."""
+        part, keep_id, keep_line = [], [], []
+        for col, tokens in _groups(table_, ["leaf"]):
+            which = cluster(tokens, similarity)
+            total = np.bincount(which, weights=col["docs"])
+            first = np.zeros(len(total), np.int64)
+            by_place = np.lexsort((col["first_line"], col["first_id"]))
+            first[which[by_place[::-1]]] = by_place[::-1]
+            hit = total[which] >= min_docs
+            part.append(col["key"][hit])
+            keep_id.append(col["first_id"][first[which]][hit])
+            keep_line.append(col["first_line"][first[which]][hit])
+        return pa.table({"t": np.concatenate(part), "keep_id": np.concatenate(keep_id), "keep_line": np.concatenate(keep_line).astype(np.int32)})
 
     return run
 
@@ -131,17 +177,23 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     scratch = Scratch(spark, "lines")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     parsed = scratch.save(rows.mapInArrow(_parse, LINES), "parsed")
-    distinct = parsed.groupBy("leaf", "sub", "key").agg(F.count("*").alias("docs"), F.min(F.struct("id", F.col("lines")[0].alias("line"))).alias("first"), F.min("tokens").alias("tokens"))
-    distinct = scratch.save(distinct.select("leaf", "sub", "key", "docs", F.col("first.id").alias("first_id"), F.col("first.line").cast("long").alias("first_line"), "tokens"), "distinct")
+    distinct = parsed.groupBy("leaf", "key").agg(F.count("*").alias("docs"), F.min(F.struct("id", F.col("lines")[0].alias("line"))).alias("first"), F.min("tokens").alias("tokens"))
+    distinct = scratch.save(distinct.select("leaf", "key", "docs", F.col("first.id").alias("first_id"), F.col("first.line").cast("long").alias("first_line"), "tokens"), "distinct")
     leaves = distinct.groupBy(F.col("leaf").alias("l")).agg(F.sum("docs").alias("all_docs"), F.count("*").alias("different")).where(F.col("all_docs") >= min_docs)
     leaves = scratch.save(leaves, "leaves")
-    in_leaf = distinct.join(leaves, F.col("leaf") == F.col("l")).withColumn("sub", F.when(F.col("different") > LEAF, F.col("sub")).otherwise(0))
-    recurring = scratch.save(in_leaf.select("leaf", "sub", "key", "docs", "first_id", "first_line", "tokens").groupBy("leaf", "sub").applyInArrow(_leaf(min_docs, similarity), "k long, keep_id long, keep_line int"), "recurring")
+    buckets = F.lit(max(partitions(spark), leaves.agg(F.coalesce(F.sum("different"), F.lit(0))).first()[0] // LINES_A_BUCKET))
+    in_leaf = distinct.join(leaves, F.col("leaf") == F.col("l")).withColumn("slice", F.pmod("key", F.lit(SLICES)))
+    in_leaf = in_leaf.select("leaf", "slice", "key", "docs", "first_id", "first_line", "tokens", F.pmod(F.xxhash64("leaf", "slice"), buckets).alias("bucket"))
+    sliced = scratch.save(in_leaf.groupBy("bucket").applyInArrow(_slices(similarity), TEMPLATES), "sliced")
+    merged = sliced.select("leaf", F.col("template").alias("key"), "docs", "first_id", "first_line", "tokens", F.pmod(F.xxhash64("leaf"), buckets).alias("bucket"))
+    merged = scratch.save(merged.groupBy("bucket").applyInArrow(_leaves(min_docs, similarity), "t long, keep_id long, keep_line int"), "merged")
+    recurring = sliced.select("template", "keys").join(merged, F.col("template") == F.col("t"))
+    recurring = scratch.save(recurring.select(F.explode("keys").alias("k"), "keep_id", "keep_line"), "recurring")
     hit = parsed.select("key", "id", "lines").join(recurring, F.col("key") == F.col("k"))
     gone = F.filter("lines", lambda x: (F.col("id") != F.col("keep_id")) | (x != F.col("keep_line")))
     by_doc = hit.select("id", F.explode(gone).alias("line")).groupBy(F.col("id").alias("_id")).agg(F.collect_list("line").alias("gone"))
     by_doc = scratch.save(by_doc, "gone")
-    scratch.drop(parsed, distinct, leaves, recurring)
+    scratch.drop(parsed, distinct, leaves, sliced, merged, recurring)
     out = rows.join(by_doc, F.coalesce("id", F.lit(LAST_ID)) == F.col("_id"), "left").select("id", "text", "gone")
     return out.mapInArrow(_drop, "id long, n_lines long, n_dropped long, kept_text string").withColumnRenamed("id", "doc_id")
 

@@ -295,3 +295,26 @@ def test_pipeline(spark, tmp_path):
             assert a == b or 100 * len(x & y) < 80 * len(x | y)
     assert sorted(kept["mixing"]) == sorted(kept["token_files"])
     assert hashlib.sha256(str(sorted(r.doc_id for r in c.run(spark, str(tmp_path)).collect())).encode()).hexdigest() == hashlib.sha256(str(sorted(kept["token_files"])).encode()).hexdigest()
+
+
+def test_line_templates_of_a_large_leaf(spark):
+    # 4,200 fillers in tokens 4 and 5: no size cuts the template apart
+    rows = [(i, f"Article written by name{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)} of the Daily Times") for i in range(4200)]
+    out = line_templates.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert [tuple(r) for r in out.where("n_dropped = 0").select("doc_id", "n_lines").collect()] == [(0, 1)]
+
+
+def test_line_cluster_finds_what_a_full_comparison_finds():
+    rng = np.random.default_rng(3)
+    for n, kinds in ((5, 3), (9, 4), (12, 60)):
+        lines = rng.integers(0, kinds, (400, n)).astype(np.uint16)
+        templates, want = [], []
+        for x in lines:
+            agree = [int((t == x).sum()) for t in templates]
+            if agree and max(agree) >= 0.7 * n:
+                want.append(agree.index(max(agree)))
+                templates[want[-1]][templates[want[-1]] != x] = 0
+            else:
+                want.append(len(templates))
+                templates.append(x.copy())
+        assert line_templates.cluster(lines, 0.7).tolist() == want
