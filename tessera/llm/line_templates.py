@@ -11,6 +11,7 @@ All documents are parsed in one pass that sends, for each document and different
 each different line. Leaves of every size are clustered alike: first each of the leaf's ``SLICES`` slices
 (by a hash of the line), in parallel, then the templates of all slices with each other. Templates are looked up
 by the tokens that a line must share with them, which finds the same ones as a comparison with all.
+The sum over a template's lines only bounds its documents; the different ids of what passes are counted.
 
 Defined results: null text has no lines, and an empty text one, which is kept; lines of fewer than
 ``MIN_TOKENS`` tokens have no template and are kept; rows with one id count as one document; of equal
@@ -141,19 +142,15 @@ def _slices(similarity: float):
 
 def _leaves(min_docs: int, similarity: float):
     def run(table_: pa.Table) -> pa.Table:
-        """Templates of slices whose template of the leaf recurs, with its first place."""
-        part, keep_id, keep_line = [], [], []
+        """Templates of slices, each with its template of the leaf, if that one's lines may be in ``min_docs`` documents."""
+        part, whole = [], []
         for col, tokens in _groups(table_, ["leaf"]):
             which = cluster(tokens, similarity)
             total = np.bincount(which, weights=col["docs"])
-            first = np.zeros(len(total), np.int64)
-            by_place = np.lexsort((col["first_line"], col["first_id"]))
-            first[which[by_place[::-1]]] = by_place[::-1]
             hit = total[which] >= min_docs
             part.append(col["key"][hit])
-            keep_id.append(col["first_id"][first[which]][hit])
-            keep_line.append(col["first_line"][first[which]][hit])
-        return pa.table({"t": np.concatenate(part), "keep_id": np.concatenate(keep_id), "keep_line": np.concatenate(keep_line).astype(np.int32)})
+            whole.append(col["key"][np.unique(which, return_index=True)[1]][which][hit])
+        return pa.table({"t": np.concatenate(part), "whole": np.concatenate(whole)})
 
     return run
 
@@ -186,14 +183,19 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     in_leaf = in_leaf.select("leaf", "slice", "key", "docs", "first_id", "first_line", "tokens", F.pmod(F.xxhash64("leaf", "slice"), buckets).alias("bucket"))
     sliced = scratch.save(in_leaf.groupBy("bucket").applyInArrow(_slices(similarity), TEMPLATES), "sliced")
     merged = sliced.select("leaf", F.col("template").alias("key"), "docs", "first_id", "first_line", "tokens", F.pmod(F.xxhash64("leaf"), buckets).alias("bucket"))
-    merged = scratch.save(merged.groupBy("bucket").applyInArrow(_leaves(min_docs, similarity), "t long, keep_id long, keep_line int"), "merged")
-    recurring = sliced.select("template", "keys").join(merged, F.col("template") == F.col("t"))
-    recurring = scratch.save(recurring.select(F.explode("keys").alias("k"), "keep_id", "keep_line"), "recurring")
+    merged = scratch.save(merged.groupBy("bucket").applyInArrow(_leaves(min_docs, similarity), "t long, whole long"), "merged")
+    likely = sliced.select("template", "keys").join(merged, F.col("template") == F.col("t"))
+    likely = scratch.save(likely.select(F.explode("keys").alias("k"), "whole"), "likely")
+    places = parsed.select("key", "id", F.col("lines")[0].alias("line")).join(likely, F.col("key") == F.col("k"))
+    met = places.groupBy("whole", "id").agg(F.min("line").alias("line")).groupBy(F.col("whole").alias("w"))
+    met = met.agg(F.count("*").alias("docs"), F.min(F.struct("id", "line")).alias("first")).where(F.col("docs") >= min_docs)
+    recurring = likely.join(met, F.col("whole") == F.col("w")).select("k", F.col("first.id").alias("keep_id"), F.col("first.line").alias("keep_line"))
+    recurring = scratch.save(recurring, "recurring")
     hit = parsed.select("key", "id", "lines").join(recurring, F.col("key") == F.col("k"))
     gone = F.filter("lines", lambda x: (F.col("id") != F.col("keep_id")) | (x != F.col("keep_line")))
     by_doc = hit.select("id", F.explode(gone).alias("line")).groupBy(F.col("id").alias("_id")).agg(F.collect_list("line").alias("gone"))
     by_doc = scratch.save(by_doc, "gone")
-    scratch.drop(parsed, distinct, leaves, sliced, merged, recurring)
+    scratch.drop(parsed, distinct, leaves, sliced, merged, likely, recurring)
     out = rows.join(by_doc, F.coalesce("id", F.lit(LAST_ID)) == F.col("_id"), "left").select("id", "text", "gone")
     return out.mapInArrow(_drop, "id long, n_lines long, n_dropped long, kept_text string").withColumnRenamed("id", "doc_id")
 

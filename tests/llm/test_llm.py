@@ -318,3 +318,12 @@ def test_line_cluster_finds_what_a_full_comparison_finds():
                 want.append(len(templates))
                 templates.append(x.copy())
         assert line_templates.cluster(lines, 0.7).tolist() == want
+
+
+def test_line_templates_count_documents(spark):
+    poem = "\n".join(f"The cat sat on {x}" for x in ("mat", "rug", "bed", "sill", "stool", "chair"))
+    rows = [(1, poem), (2, "other text of its own here"), *((3, "The dog ran to " + x) for x in ("me", "you", "us", "them", "her"))]
+    rows += [(10 + i, f"We like to eat {x}") for i, x in enumerate(("figs", "plums", "pears", "grapes", "dates"))]
+    out = line_templates.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_dropped").collect()
+    # one document, or rows of one id, are one document however many lines of a template they have
+    assert sorted(map(tuple, out)) == sorted([(1, 0), (2, 0), *[(3, 0)] * 5, (10, 0), *((10 + i, 1) for i in range(1, 5))])
