@@ -1,14 +1,14 @@
 """Substring dedup over a log-structured fingerprint index.
 
 Every window of 20 words is told by its *anchor*, the least of the 11 hashes of 10 consecutive words in it,
-and by 32 bits of its own hash. Neighbouring windows mostly share an anchor, so about one entry for six
-words covers all windows: (64-bit anchor hash, offsets of the windows in which it is the anchor, 32
-bits of each of these windows). Equal windows have the same anchor at the same offset.
+and by its own 64-bit hash. Neighbouring windows mostly share an anchor, so about one entry for six
+words covers all windows: (64-bit anchor hash, offsets of the windows in which it is the anchor, the
+hash of each of these windows). Equal windows have the same anchor at the same offset.
 
 The index is a list of immutable runs. A run holds, for each bucket of anchor hashes, the entries that a
 batch of documents was first to bring, sorted by hash. A new batch (documents later than all indexed
 ones) is deduplicated in one shuffle by bucket, where its sorted entries are merged with those of the runs:
-anchors met once are done; under the others windows are verified by their own hash (96 bits in all), and
+anchors met once are done; under the others windows are verified by their offset and own hash (64 bits besides the anchor's), and
 every window but the first is a repeat. What is new becomes
 the next run; when there are more than ``fanout`` runs they are merged into one.
 
@@ -71,7 +71,7 @@ class Entries:
 
     def pack(self, with_place: bool) -> bytes:
         r = self.rows
-        parts = [r["fp"].tobytes(), (r["lo"] | r["hi"] << 4).tobytes(), self.windows.astype("<u4").tobytes()]
+        parts = [r["fp"].tobytes(), (r["lo"] | r["hi"] << 4).tobytes(), self.windows.astype("<u8").tobytes()]
         if with_place:
             parts += [r["id"].tobytes(), r["at"].tobytes()]
         raw = b"".join(parts)
@@ -86,10 +86,10 @@ class Entries:
         offsets = np.frombuffer(raw, "u1", n, 8 * n)
         rows["lo"], rows["hi"] = offsets & 15, offsets >> 4
         total = int((rows["hi"].astype(np.int64) - rows["lo"] + 1).sum())
-        windows = np.frombuffer(raw, "<u4", total, 9 * n)
+        windows = np.frombuffer(raw, "<u8", total, 9 * n)
         if with_place:
-            rows["id"] = np.frombuffer(raw, "<i8", n, 9 * n + 4 * total)
-            rows["at"] = np.frombuffer(raw, "<u4", n, 17 * n + 4 * total)
+            rows["id"] = np.frombuffer(raw, "<i8", n, 9 * n + 8 * total)
+            rows["at"] = np.frombuffer(raw, "<u4", n, 17 * n + 8 * total)
         return Entries(rows, windows)
 
 
@@ -98,7 +98,7 @@ def entries_of(batch: pa.RecordBatch) -> Entries:
     w = K.words(batch.column("text"), K.NON_SPACE)
     s = K.whole_grams(w, WINDOW)
     if not len(s):
-        return Entries(np.zeros(0, ENTRY), np.zeros(0, np.uint32))
+        return Entries(np.zeros(0, ENTRY), np.zeros(0, np.uint64))
     g = K.gram_hashes(w.hash, GRAM)
     best, arg = g[s], np.zeros(len(s), np.int64)
     for j in range(1, SPAN + 1):
@@ -114,7 +114,7 @@ def entries_of(batch: pa.RecordBatch) -> Entries:
     rows["at"] = at - w.bounds[doc]
     with np.errstate(over="ignore"):  # a window of 20 words is two grams of 10
         own = K.mix(g[s] * np.uint64(0x9E3779B97F4A7C15) ^ g[s + GRAM])
-    return Entries(rows, (own >> np.uint64(32)).astype(np.uint32))
+    return Entries(rows, own)
 
 
 def repeats_of(rows: np.ndarray) -> np.ndarray:
@@ -130,7 +130,7 @@ def _map(buckets: int):
         r = e.rows
         with np.errstate(over="ignore"):  # a digest of an entry's windows, in order
             owner, nth = e.expand(np.arange(len(e)))
-            each = K.mix(e.windows.astype(np.uint64) * np.uint64(16) + nth.astype(np.uint64) + np.uint64(1))
+            each = K.mix(e.windows + nth.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
             total = np.concatenate([[np.uint64(0)], np.cumsum(each, dtype=np.uint64)])
             digest = total[e.bounds[1:]] - total[e.bounds[:-1]]
         order = np.lexsort((r["at"], r["id"], r["hi"], r["lo"], digest, r["fp"]))
@@ -185,11 +185,12 @@ def _merge(keep: bool):
             many[order] = np.repeat(size > 1, size)
             fresh = placed & ~many  # anchors met once
             k, nth = e.expand(np.flatnonzero(many))
-            key, start = e.windows[e.bounds[k] + nth], r["at"][k].astype(np.int64) - (r["hi"][k].astype(np.int64) - nth)
-            order = np.lexsort((start, r["id"][k], placed[k], key, r["fp"][k]))
-            k, key, start = k[order], key[order], start[order]
+            key, offset = e.windows[e.bounds[k] + nth], r["hi"][k].astype(np.int64) - nth
+            start = r["at"][k].astype(np.int64) - offset
+            order = np.lexsort((start, r["id"][k], placed[k], offset, key, r["fp"][k]))
+            k, key, offset, start = k[order], key[order], offset[order], start[order]
             fp, ident, mine = r["fp"][k], r["id"][k], placed[k]
-            head = np.append(True, (fp[1:] != fp[:-1]) | (key[1:] != key[:-1]))[: len(k)]
+            head = np.append(True, (fp[1:] != fp[:-1]) | (key[1:] != key[:-1]) | (offset[1:] != offset[:-1]))[: len(k)]
             lead = np.maximum.accumulate(np.where(head, np.arange(len(k)), 0))
             repeat = mine & ~((ident == ident[lead]) & (start == start[lead]) & mine[lead])
             gone = np.zeros(int(repeat.sum()), RANGE)

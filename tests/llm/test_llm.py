@@ -327,3 +327,11 @@ def test_line_templates_count_documents(spark):
     out = line_templates.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_dropped").collect()
     # one document, or rows of one id, are one document however many lines of a template they have
     assert sorted(map(tuple, out)) == sorted([(1, 0), (2, 0), *[(3, 0)] * 5, (10, 0), *((10 + i, 1) for i in range(1, 5))])
+
+
+def test_substring_tells_windows_of_one_anchor_apart(spark):
+    # both windows have the anchor "h12588x0 ... h12588x9" and agree in the upper 32 bits of their hashes
+    phrase = " ".join(f"h12588x{j}" for j in range(10))
+    rows = [(1, f"{phrase} a b c d e f g h i n1582"), (2, f"{phrase} a b c d e f g h i n181553"), (3, f"{phrase} a b c d e f g h i n1582")]
+    out = substring.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((r.doc_id, r.n_removed) for r in out.collect()) == [(1, 0), (2, 0), (3, 20)]
