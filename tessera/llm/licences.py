@@ -8,6 +8,9 @@ fitted on held-out examples, calibrates the probabilities, and the least probabi
 precision there is the bar below which a paragraph is unknown. A prediction stands only if the
 comparison with the family's templates confirms it: enough of one notice's 2-grams occur in the paragraph.
 
+Notices wrapped over several lines are met whole: besides each line, every run of consecutive non-blank lines
+that could hold one notice is judged. Of claims on the same lines the best match stands, then the shortest.
+
 Scanning reads whole texts; only n-grams of the model are looked at further, so the work is sparse.
 
 Defined results: null or empty text has no paragraphs and no licence; blank lines are no paragraphs;
@@ -17,6 +20,7 @@ result's are replaced; an empty table gives no rows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -127,11 +131,45 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
+def spans(doc: np.ndarray, line: np.ndarray, begin: np.ndarray, finish: np.ndarray, hit: np.ndarray, wide: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and last line (indexes) of what is judged: each line, and each run of consecutive lines that could hold one notice.
+
+    Line i has the words begin[i] to finish[i]; hit tells which 2-grams occur in a notice. In a run they begin in the first
+    line and end in the last, ``least`` or more of them, and the lines between hold at most ``wide`` words."""
+    n = len(begin)
+    first, last = [np.arange(n)], [np.arange(n)]
+    hits = np.concatenate([[0], np.cumsum(hit), [hit.sum()] if n else []]).astype(np.int64)  # one for each word, and an end
+    joined = np.append((doc[1:] == doc[:-1]) & (line[1:] == line[:-1] + 1), False)[:n]  # with the next line
+    i = np.flatnonzero(joined & (hits[finish] > hits[begin]))
+    j = i + 1
+    while len(i):
+        ends = hits[finish[j] - 1] > hits[begin[j] - 1]
+        good = ends & (hits[finish[j] - 1] - hits[begin[i]] >= least)
+        first.append(i[good])
+        last.append(j[good])
+        on = joined[j] & (finish[j] - finish[i] <= wide)
+        i, j = i[on], j[on] + 1
+    return np.concatenate(first), np.concatenate(last)
+
+
 def _scan(model, text_col: str, confirm: float, out: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = model.value
         table_ = np.zeros(1 << 16, bool)
         table_[(m.keys >> np.uint64(48)).astype(np.int64)] = True
+        sizes = [len(t) for ts in m.templates for t in ts]
+        # the most words of a notice, and the fewest 2-grams that confirm one
+        wide, least = max(len(K.words(pa.array([n]), K.ALNUM).doc) for ns in NOTICES.values() for n in ns), max(1, math.ceil(confirm * min(sizes)))
+
+        def feature(h: np.ndarray) -> np.ndarray:
+            """Number of each n-gram in the model, or -1."""
+            out = np.full(len(h), -1, np.int64)
+            keep = np.flatnonzero(table_[(h >> np.uint64(48)).astype(np.int64)])
+            at = np.minimum(np.searchsorted(m.keys, h[keep]), len(m.keys) - 1)
+            on = m.keys[at] == h[keep]
+            out[keep[on]] = at[on]
+            return out
+
         for whole in batches:
             for batch in K.slices(whole, text_col):
                 texts = batch.column(text_col)
@@ -142,30 +180,45 @@ def _scan(model, text_col: str, confirm: float, out: pa.Schema):
                 new = np.append(True, (line[1:] != line[:-1]) | (w.doc[1:] != w.doc[:-1]))[: len(line)]
                 para = np.cumsum(new) - 1
                 begin = np.flatnonzero(new)
+                finish = np.append(begin[1:], len(para))[: len(begin)]
                 two = K.gram_hashes(w.hash, 2)
-                at2 = np.flatnonzero(para[1:] == para[:-1]) if len(para) else np.zeros(0, np.int64)
-                h, owner = np.concatenate([w.hash, two[at2]]), np.concatenate([para, para[at2]])
-                keep = np.flatnonzero(table_[(h >> np.uint64(48)).astype(np.int64)])
-                h, owner = h[keep], owner[keep]
-                at = np.minimum(np.searchsorted(m.keys, h), len(m.keys) - 1)
-                on = m.keys[at] == h
-                pair = np.unique(np.stack([owner[on], at[on]]), axis=1) if on.any() else np.zeros((2, 0), np.int64)
+                one_, two_ = feature(w.hash), feature(two)
+                first, last = spans(w.doc[begin], line[begin], begin, finish, two_ >= 0, wide, least)
                 found: list[list[dict]] = [[] for _ in range(batch.num_rows)]
-                if pair.shape[1]:
-                    some, inverse = np.unique(pair[0], return_inverse=True)
+                a, b = begin[first], finish[last]
+                owner, at = [], []
+                for ids, end in ((one_, b), (two_, b - 1)):
+                    known = np.flatnonzero(ids >= 0)
+                    x, y = np.searchsorted(known, a), np.searchsorted(known, end)
+                    width = np.maximum(y - x, 0)
+                    owner.append(np.repeat(np.arange(len(first)), width))
+                    at.append(ids[known[np.arange(int(width.sum())) + np.repeat(x - (np.cumsum(width) - width), width)]])
+                pair = np.unique(np.concatenate(owner) * len(m.keys) + np.concatenate(at))
+                if len(pair):
+                    some, inverse = np.unique(pair // len(m.keys), return_inverse=True)
                     z = np.zeros((len(some), m.weights.shape[1]), np.float32)
-                    np.add.at(z, inverse, m.weights[pair[1]])
+                    np.add.at(z, inverse, m.weights[pair % len(m.keys)])
                     p = softmax((z + m.weights[-1]) / m.temperature)
                     best = p.argmax(1)
                     sure = np.flatnonzero((best < len(FAMILIES)) & (p.max(1) >= m.bar))
+                    claims = []
                     for i in sure.tolist():
                         k = int(some[i])
-                        a = int(begin[k])
-                        b = int(begin[k + 1]) if k + 1 < len(begin) else len(para)
-                        own = np.unique(two[a : b - 1])
+                        own = np.unique(two[a[k] : b[k] - 1])
                         match = max(float(np.isin(t, own).mean()) for t in m.templates[best[i]])
                         if match >= confirm:
-                            found[int(w.doc[a])].append({"line": int(line[a]), "family": FAMILIES[best[i]], "probability": float(p[i, best[i]]), "match": match})
+                            claims.append((-match, int(last[k] - first[k]), int(first[k]), i))
+                    taken: dict[int, set[int]] = {}
+                    for lost, more, k, i in sorted(claims):
+                        shared = [j for j in range(k, k + more + 1) if j in taken]
+                        # notices of two families may meet in a line
+                        if shared and not (more and shared in ([k], [k + more]) and best[i] not in taken[shared[0]]):
+                            continue
+                        for j in range(k, k + more + 1):
+                            taken.setdefault(j, set()).add(int(best[i]))
+                        found[int(w.doc[begin[k]])].append({"line": int(line[begin[k]]), "family": FAMILIES[best[i]], "probability": float(p[i, best[i]]), "match": -lost})
+                    for x in found:
+                        x.sort(key=lambda n: (n["line"], n["family"]))
                 columns = {name: batch.column(name) for name in batch.schema.names}
                 columns |= {"n_paragraphs": pa.array(np.bincount(w.doc[begin], minlength=batch.num_rows)), "notices": pa.array(found, out.field("notices").type)}
                 yield pa.RecordBatch.from_arrays([columns[f.name].cast(f.type) for f in out], schema=out)
@@ -183,7 +236,7 @@ def sample_paragraphs(docs: DataFrame, text_col: str = "text", texts: int = 300,
 
 
 def scan_licences(docs: DataFrame, model: Model | None = None, text_col: str = "text", confirm: float = 0.6) -> DataFrame:
-    """Every row of docs with n_paragraphs, n_licence (paragraphs with a confirmed licence), families,
+    """Every row of docs with n_paragraphs, n_licence (lines, or runs of lines, with a confirmed licence), families,
     confidence (the greatest probability, null if none) and notices (line, family, probability, match)."""
     from pyspark.sql.pandas.types import to_arrow_schema
 

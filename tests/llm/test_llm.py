@@ -335,3 +335,18 @@ def test_substring_tells_windows_of_one_anchor_apart(spark):
     rows = [(1, f"{phrase} a b c d e f g h i n1582"), (2, f"{phrase} a b c d e f g h i n181553"), (3, f"{phrase} a b c d e f g h i n1582")]
     out = substring.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted((r.doc_id, r.n_removed) for r in out.collect()) == [(1, 0), (2, 0), (3, 20)]
+
+
+def test_wrapped_licences(spark):
+    import textwrap
+
+    rng = random.Random(5)
+    model = licences.train([" ".join(rng.choice(["sun", "work", "version", "public", "moon", "the", "terms", "general", "copy"]) for _ in range(12)) for _ in range(400)], copies=25)
+    notices = {f: max(licences.NOTICES[f], key=len) for f in ("BSD", "GPL-3.0", "ISC", "MIT")}
+    rows, want = [], []
+    for f, notice in notices.items():
+        for width in (30, 70, 80):
+            rows.append((len(rows), "moon and sun\n\n# " + "\n# ".join(textwrap.wrap(notice, width)) + "\n\nsun and moon"))
+            want.append((len(rows) - 1, [f], 1))
+    got = licences.scan_licences(spark.createDataFrame(rows, "doc_id long, text string"), model)
+    assert sorted((r.doc_id, r.families, r.n_licence) for r in got.collect()) == want
