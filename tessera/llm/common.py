@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import atexit
 import tempfile
+import time
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,6 +30,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; one of our own only where the session names none (tests, local mode)."""
     given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not given:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         given = f"file://{tempfile.mkdtemp(prefix='tessera-')}"
         spark.sparkContext.setCheckpointDir(given)
     return given.rstrip("/")
@@ -45,18 +51,31 @@ class Scratch:
     session ends.
     """
 
-    def __init__(self, spark: SparkSession, name: str):
+    def __init__(self, spark: SparkSession, name: str, path: str | None = None):
+        """With a ``path`` the tables are kept in that folder, also when the session ends."""
+        small_batches(spark)
         self.spark = spark
-        self.path = f"{shared_dir(spark)}/tessera/{name}-{uuid.uuid4().hex[:12]}"
-        atexit.register(self.close)
+        self.path = path or f"{shared_dir(spark)}/tessera/{name}-{uuid.uuid4().hex[:12]}"
+        if not path:
+            atexit.register(self.close)
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
-        to = f"{self.path}/{name}-{uuid.uuid4().hex[:8]}"
+        to = f"{self.path}/{name}-{time.time_ns()}-{uuid.uuid4().hex[:8]}"
         df.write.option("compression", "zstd").parquet(to)
         out = self.spark.read.schema(df.schema).parquet(to)
         out._tessera_path = to
         return out
 
+    def tables(self, name: str, schema: str) -> list[DataFrame]:
+        """The tables saved under a name, oldest first, but for those whose writing was cut short."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}-*/_SUCCESS")
+        found = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(path) or []
+        out = []
+        for to in sorted(x.getPath().getParent().toString() for x in found):
+            out.append(self.spark.read.schema(schema).parquet(to))
+            out[-1]._tessera_path = to
+        return out
+
     def drop(self, *frames: DataFrame) -> None:
         for x in frames:
             delete(self.spark, x._tessera_path)
@@ -69,5 +88,56 @@ class Scratch:
             return
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of a few MB, so that rows of long texts do not meet by the ten thousand in a worker."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
+
+
+def _press(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    press = zstandard.ZstdCompressor(level=3)
+    for batch in batches:
+        z = [None if t is None else press.compress(t.encode()) for t in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([pa.array(z, pa.binary()) if c == "text" else batch.column(c) for c in batch.schema.names], batch.schema.names)
+
+
+def packed(rows: DataFrame) -> DataFrame:
+    """rows with ``text`` compressed, for shuffles: it takes half of what it takes there otherwise."""
+    return rows.mapInArrow(_press, ", ".join(f"{c} {'binary' if c == 'text' else kind}" for c, kind in rows.dtypes))
+
+
+def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches with the texts that :func:`packed` compressed."""
+    plain = zstandard.ZstdDecompressor()
+    for batch in batches:
+        texts = [None if z is None else plain.decompress(z).decode() for z in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in batch.schema.names], batch.schema.names)
+
+
+def with_sub(docs: DataFrame, scratch: Scratch, id_col: str = "id", text_col: str = "text", sub: str = "sub") -> DataFrame:
+    """docs with ``sub``, which together with the id tells texts apart: a hash of the text where the id is
+    null (odd) or has several texts (even), else 0. Rows equal in id and text are equal in both."""
+    hashed, id_, zero = F.xxhash64(F.col(text_col)), F.col(id_col), F.lit(0).cast("long")
+    texts = docs.where(id_.isNotNull()).groupBy(id_.alias("_tessera_many")).agg(F.min(hashed).alias("least"), F.max(hashed).alias("most"))
+    many = scratch.save(texts.where("least != most").select("_tessera_many"), "many")
+    by_text = F.when(id_.isNull(), hashed.bitwiseOR(F.lit(1)))
+    if many.isEmpty():
+        return docs.withColumn(sub, F.coalesce(by_text, zero))
+    joined = docs.join(merged(many), id_ == F.col("_tessera_many"), "left")
+    even = F.when(F.col("_tessera_many").isNotNull(), hashed.bitwiseAND(F.lit(-2)))
+    return joined.select(*[F.col(c) for c in docs.columns if c != sub], F.coalesce(by_text, even, zero).alias(sub))
+
+
+def with_key(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str = "text", key: str = "_tessera_key") -> DataFrame:
+    """docs with one number for each id and text: the id, or a hash of both where it is null or has several texts."""
+    docs = with_sub(docs, scratch, id_col, text_col, "_tessera_sub")
+    own = F.when(F.col("_tessera_sub") == 0, F.col(id_col).cast("long")).otherwise(F.xxhash64(F.col(id_col), F.col("_tessera_sub")))
+    return docs.withColumn(key, own).drop("_tessera_sub")
+
+
+def merged(df: DataFrame) -> DataFrame:
+    """Joined by sorting, whatever its size, so that small inputs run the plan of large ones and nothing unbounded is broadcast."""
+    return df.hint("merge")
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -6,6 +6,7 @@ is made per word. Memory follows the bytes handed in; callers cut batches with :
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -139,8 +140,30 @@ def whole_grams(w: Words, k: int) -> np.ndarray:
     return np.flatnonzero(w.doc[: n - k + 1] == w.doc[k - 1 :])
 
 
+def spread(start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Indexes of all elements of these stretches, one after the other."""
+    ends = np.cumsum(length)
+    return np.repeat(start - (ends - length), length) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
+_libc = ctypes.CDLL(None)
+_ready: list[bool] = []
+
+
+def give_back() -> None:
+    """Return freed memory to the system: an executor's workers live on between stages, and what they keep adds up."""
+    if not hasattr(_libc, "malloc_trim"):  # not glibc
+        return
+    if not _ready:
+        _ready.append(True)
+        _libc.mallopt(-3, 4 << 20)  # M_MMAP_THRESHOLD: larger arrays go back as soon as they are freed
+        pa.set_memory_pool(pa.system_memory_pool())
+    _libc.malloc_trim(0)
+
+
 def slices(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that each piece holds about ``limit`` bytes of text; a longer text stands alone."""
+    give_back()
     if not batch.num_rows:
         return
     lengths = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0)).astype(np.int64)
