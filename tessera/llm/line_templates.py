@@ -7,16 +7,16 @@ fields, most frequent lines first. A template found in at least ``min_docs`` doc
 lines are dropped everywhere but for its first occurrence (least document id, then line).
 
 All documents are parsed in one pass that sends, for each document and different line, its place in the tree and
-16 bits a token. Equal lines are summed before the shuffle, so what reaches a leaf is one row for
-each different line. Leaves of every size are clustered alike: first each of the leaf's ``SLICES`` slices
+16 bits a token. Lines are counted by two numbers each; only the lines of leaves that could hold a recurring
+template travel whole, once. What reaches a leaf is one row for each different line. Leaves of every size are clustered alike: first each of the leaf's ``SLICES`` slices
 (by a hash of the line), in parallel, then the templates of all slices with each other. Templates are looked up
 by the tokens that a line must share with them, which finds the same ones as a comparison with all.
 The sum over a template's lines only bounds its documents; the different ids of what passes are counted.
 
 Defined results: null text has no lines, and an empty text one, which is kept; lines of fewer than
-``MIN_TOKENS`` tokens have no template and are kept; rows with one id count as one document; of equal
-lines in one document all but the first occurrence go; null ids come last; other columns are ignored;
-an empty table gives no rows.
+``MIN_TOKENS`` tokens have no template and are kept; rows with one id count as one document, but each loses
+lines of its own text only; rows with a null id count by text and come last; of equal lines in one
+document all but the first occurrence go; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -31,16 +31,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import Scratch, partitions, table
+from .common import Scratch, merged, partitions, table, with_sub
 
 MIN_TOKENS, DEPTH, SLICES = 3, 3, 16
 #: Lines that a task clusters at once, or more where one slice holds more.
 LINES_A_BUCKET = 20_000
-LAST_ID = (1 << 63) - 1
+#: Tasks over which the lines of one template are dealt: a template may hold a third of all lines.
+SALT = 64
 _DIGITS = K.byte_class(b"0123456789")
-LINES = "leaf long, key long, id long, lines array<int>, tokens binary"
+LINES = "leaf long, key long, id long, sub long, lines array<int>, tokens binary"
 #: Templates of slices: the key of a template's weightiest line, and the keys of all its lines.
-TEMPLATES = "leaf long, template long, docs long, first_id long, first_line long, tokens binary, keys array<long>"
+TEMPLATES = "leaf long, template long, docs long, tokens binary, keys array<long>"
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,8 +78,8 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             take = np.repeat(begin[first] - ends[:-1], width) + np.arange(ends[-1])
             short = np.where(token[take] == 0, np.uint64(0), (token[take] >> np.uint64(48)) | np.uint64(1)).astype("<u2")
             tokens = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer((2 * ends).astype(np.int32).tobytes()), pa.py_buffer(short.tobytes())])
-            ids = np.asarray(batch.column("id").fill_null(LAST_ID))[doc[first]]
-            yield pa.RecordBatch.from_arrays([pa.array(leaf[first].view(np.int64)), pa.array(key[first].view(np.int64)), pa.array(ids), lists, tokens], ["leaf", "key", "id", "lines", "tokens"])
+            at = pa.array(doc[first])
+            yield pa.RecordBatch.from_arrays([pa.array(leaf[first].view(np.int64)), pa.array(key[first].view(np.int64)), batch.column("id").take(at), batch.column("sub").take(at), lists, tokens], ["leaf", "key", "id", "sub", "lines", "tokens"])
 
 
 def cluster(lines: np.ndarray, similarity: float, patterns: bool = False) -> np.ndarray | tuple[np.ndarray, np.ndarray]:
@@ -113,9 +114,9 @@ def cluster(lines: np.ndarray, similarity: float, patterns: bool = False) -> np.
 
 def _groups(table_: pa.Table, by: list[str]) -> Iterator[tuple[dict[str, np.ndarray], np.ndarray]]:
     """The rows of each group, the weightiest first: columns and tokens."""
-    col = {c: table_.column(c).to_numpy() for c in (*by, "key", "docs", "first_id", "first_line")}
+    col = {c: table_.column(c).to_numpy() for c in (*by, "key", "docs")}
     tokens = table_.column("tokens").combine_chunks()
-    order = np.lexsort((col["key"], col["first_line"], col["first_id"], -col["docs"], *(col[c] for c in by)))
+    order = np.lexsort((col["key"], -col["docs"], *(col[c] for c in by)))
     new = np.zeros(len(order), bool)
     new[:1] = True
     for c in by:
@@ -132,10 +133,9 @@ def _slices(similarity: float):
             which, patterns = cluster(tokens, similarity, patterns=True)
             order = np.argsort(which, kind="stable")
             for pattern, rows in zip(patterns, np.split(order, np.flatnonzero(np.diff(which[order])) + 1), strict=True):
-                first = rows[np.lexsort((col["first_line"][rows], col["first_id"][rows]))[0]]
-                out.append((col["leaf"][0], col["key"][rows[0]], col["docs"][rows].sum(), col["first_id"][first], col["first_line"][first], pattern.astype("<u2").tobytes(), col["key"][rows]))
+                out.append((col["leaf"][0], col["key"][rows[0]], col["docs"][rows].sum(), pattern.astype("<u2").tobytes(), col["key"][rows]))
         columns = list(zip(*out, strict=True))
-        return pa.table({"leaf": pa.array(columns[0], pa.int64()), "template": pa.array(columns[1], pa.int64()), "docs": pa.array(columns[2], pa.int64()), "first_id": pa.array(columns[3], pa.int64()), "first_line": pa.array(columns[4], pa.int64()), "tokens": pa.array(columns[5], pa.binary()), "keys": pa.array(columns[6], pa.list_(pa.int64()))})
+        return pa.table({"leaf": pa.array(columns[0], pa.int64()), "template": pa.array(columns[1], pa.int64()), "docs": pa.array(columns[2], pa.int64()), "tokens": pa.array(columns[3], pa.binary()), "keys": pa.array(columns[4], pa.list_(pa.int64()))})
 
     return run
 
@@ -173,30 +173,37 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spark = docs.sparkSession
     scratch = Scratch(spark, "lines")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = with_sub(rows, scratch)
     parsed = scratch.save(rows.mapInArrow(_parse, LINES), "parsed")
-    distinct = parsed.groupBy("leaf", "key").agg(F.count("*").alias("docs"), F.min(F.struct("id", F.col("lines")[0].alias("line"))).alias("first"), F.min("tokens").alias("tokens"))
-    distinct = scratch.save(distinct.select("leaf", "key", "docs", F.col("first.id").alias("first_id"), F.col("first.line").cast("long").alias("first_line"), "tokens"), "distinct")
-    leaves = distinct.groupBy(F.col("leaf").alias("l")).agg(F.sum("docs").alias("all_docs"), F.count("*").alias("different")).where(F.col("all_docs") >= min_docs)
+    counts = scratch.save(parsed.groupBy("leaf", "key").agg(F.count("*").alias("docs")), "counts")
+    leaves = counts.groupBy(F.col("leaf").alias("l")).agg(F.sum("docs").alias("all_docs"), F.count("*").alias("different")).where(F.col("all_docs") >= min_docs)
     leaves = scratch.save(leaves, "leaves")
     buckets = F.lit(max(partitions(spark), leaves.agg(F.coalesce(F.sum("different"), F.lit(0))).first()[0] // LINES_A_BUCKET))
-    in_leaf = distinct.join(leaves, F.col("leaf") == F.col("l")).withColumn("slice", F.pmod("key", F.lit(SLICES)))
-    in_leaf = in_leaf.select("leaf", "slice", "key", "docs", "first_id", "first_line", "tokens", F.pmod(F.xxhash64("leaf", "slice"), buckets).alias("bucket"))
+    lines = scratch.save(counts.join(merged(leaves), F.col("leaf") == F.col("l")).select("leaf", F.col("key").alias("k"), "docs"), "lines")
+    places = parsed.join(merged(lines.select("k")), F.col("key") == F.col("k")).select("key", "id", "sub", "lines", "tokens")
+    places = scratch.save(places, "places")
+    scratch.drop(parsed, counts, leaves)
+    tokens = places.groupBy("key").agg(F.min("tokens").alias("tokens"))
+    in_leaf = lines.join(merged(tokens), F.col("key") == F.col("k")).withColumn("slice", F.pmod("key", F.lit(SLICES)))
+    in_leaf = in_leaf.select("leaf", "slice", "key", "docs", "tokens", F.pmod(F.xxhash64("leaf", "slice"), buckets).alias("bucket"))
     sliced = scratch.save(in_leaf.groupBy("bucket").applyInArrow(_slices(similarity), TEMPLATES), "sliced")
-    merged = sliced.select("leaf", F.col("template").alias("key"), "docs", "first_id", "first_line", "tokens", F.pmod(F.xxhash64("leaf"), buckets).alias("bucket"))
-    merged = scratch.save(merged.groupBy("bucket").applyInArrow(_leaves(min_docs, similarity), "t long, whole long"), "merged")
-    likely = sliced.select("template", "keys").join(merged, F.col("template") == F.col("t"))
-    likely = scratch.save(likely.select(F.explode("keys").alias("k"), "whole"), "likely")
-    places = parsed.select("key", "id", F.col("lines")[0].alias("line")).join(likely, F.col("key") == F.col("k"))
-    met = places.groupBy("whole", "id").agg(F.min("line").alias("line")).groupBy(F.col("whole").alias("w"))
-    met = met.agg(F.count("*").alias("docs"), F.min(F.struct("id", "line")).alias("first")).where(F.col("docs") >= min_docs)
-    recurring = likely.join(met, F.col("whole") == F.col("w")).select("k", F.col("first.id").alias("keep_id"), F.col("first.line").alias("keep_line"))
-    recurring = scratch.save(recurring, "recurring")
-    hit = parsed.select("key", "id", "lines").join(recurring, F.col("key") == F.col("k"))
-    gone = F.filter("lines", lambda x: (F.col("id") != F.col("keep_id")) | (x != F.col("keep_line")))
-    by_doc = hit.select("id", F.explode(gone).alias("line")).groupBy(F.col("id").alias("_id")).agg(F.collect_list("line").alias("gone"))
+    whole = sliced.select("leaf", F.col("template").alias("key"), "docs", "tokens", F.pmod(F.xxhash64("leaf"), buckets).alias("bucket"))
+    whole = scratch.save(whole.groupBy("bucket").applyInArrow(_leaves(min_docs, similarity), "t long, whole long"), "whole")
+    likely = sliced.select("template", "keys").join(merged(whole), F.col("template") == F.col("t")).select(F.explode("keys").alias("k"), "whole")
+    found = places.join(merged(likely), F.col("key") == F.col("k")).select("whole", "id", "sub", "lines")
+    found = scratch.save(found, "found")
+    first = F.struct(F.col("id").isNull().alias("none"), "id", "sub", F.col("lines")[0].alias("line"))
+    met = found.groupBy("whole", "id", F.when(F.col("id").isNull(), F.col("sub")).alias("text")).agg(F.min(first).alias("first")).groupBy(F.col("whole").alias("w"))
+    met = met.agg(F.count("*").alias("docs"), F.min("first").alias("keep")).where(F.col("docs") >= min_docs)
+    met = met.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    salted = found.withColumn("salt", F.pmod(F.xxhash64("id", "sub"), F.lit(SALT)).cast("int"))
+    hit = salted.join(merged(met), (F.col("whole") == F.col("w")) & (F.col("salt") == F.col("s")))
+    kept = F.col("id").eqNullSafe(F.col("keep.id")) & (F.col("sub") == F.col("keep.sub"))
+    gone = F.filter("lines", lambda x: ~(kept & (x == F.col("keep.line"))))
+    by_doc = hit.select("id", "sub", F.explode(gone).alias("line")).groupBy(F.col("id").alias("_id"), F.col("sub").alias("_sub")).agg(F.collect_list("line").alias("gone"))
     by_doc = scratch.save(by_doc, "gone")
-    scratch.drop(parsed, distinct, leaves, sliced, merged, likely, recurring)
-    out = rows.join(by_doc, F.coalesce("id", F.lit(LAST_ID)) == F.col("_id"), "left").select("id", "text", "gone")
+    scratch.drop(lines, places, sliced, whole, found)
+    out = rows.join(merged(by_doc), F.col("id").eqNullSafe(F.col("_id")) & (F.col("sub") == F.col("_sub")), "left").select("id", "text", "gone")
     return out.mapInArrow(_drop, "id long, n_lines long, n_dropped long, kept_text string").withColumnRenamed("id", "doc_id")
 
 
