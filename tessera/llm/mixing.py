@@ -15,7 +15,7 @@ Ranks without gathering a source: documents (without text) are range-partitioned
 doc_id), written, numbered inside each partition, and shifted by the counts of earlier partitions.
 
 Defined results: a null text has size 0; null is a source of its own; an empty source has target 0;
-repeated rows are separate documents; ties in (source, size, doc_id) are equal rows, whose order
+repeated rows are separate documents; the sources, one row each, are ranked in one task; ties in (source, size, doc_id) are equal rows, whose order
 changes nothing in size; an empty table gives an empty mix; input columns named like the result's are replaced.
 """
 
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from .common import NON_SPACE_WORDS, Scratch, partitions, table
+from .common import NON_SPACE_WORDS, Scratch, merged, partitions, table, with_key
 
 WEIGHTS = (3, 1, 2)
 
@@ -81,18 +81,20 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     return out.withColumn("taken", F.col("copies") * F.col("size"))
 
 
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs, each as often as the mix takes it. Rows that share an id share its copies evenly."""
-    id_col = options.get("id_col", "doc_id")
-    taken = mix(docs, **options).groupBy(F.col("doc_id").alias("_tessera_id")).agg(F.sum("copies").alias("_tessera_copies"), F.count("*").alias("_tessera_rows")).where("_tessera_copies > 0")
-    joined = docs.join(taken, docs[id_col].eqNullSafe(F.col("_tessera_id")))
-    nth = F.row_number().over(Window.partitionBy("_tessera_id").orderBy(F.lit(1)))
-    share = lambda n: F.floor(n * F.col("_tessera_copies") / F.col("_tessera_rows"))
-    many = joined.where("_tessera_rows > 1").withColumn("_tessera_nth", nth)
-    many = many.withColumn("_tessera_copies", share(F.col("_tessera_nth")) - share(F.col("_tessera_nth") - 1)).drop("_tessera_nth").where("_tessera_copies > 0")
-    copies = F.sequence(F.lit(1).cast("long"), F.col("_tessera_copies"))
-    both = joined.where("_tessera_rows = 1").unionByName(many)
-    return both.withColumn("_tessera_copy", F.explode(copies)).select(*docs.columns)
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """The rows of docs, each as often as the mix takes it. Rows equal in id, text and source share their copies evenly."""
+    scratch = Scratch(docs.sparkSession, "mixed")
+    keyed = with_key(docs, scratch, id_col, text_col)
+    taken = mix(keyed, "_tessera_key", text_col, source_col, **options)
+    taken = taken.groupBy(F.col("doc_id").alias("_tessera_id"), F.col("source").alias("_tessera_source")).agg(F.sum("copies").alias("_tessera_copies"), F.count("*").alias("_tessera_rows"))
+    taken = scratch.save(taken.where("_tessera_copies > 0"), "taken")
+    joined = keyed.join(merged(taken), (F.col("_tessera_key") == F.col("_tessera_id")) & keyed[source_col].cast("string").eqNullSafe(F.col("_tessera_source")))
+    if not taken.where("_tessera_rows > 1").isEmpty():
+        nth = F.row_number().over(Window.partitionBy("_tessera_key", "_tessera_source").orderBy(F.xxhash64(*[c for c, kind in docs.dtypes if not kind.startswith("map")])))
+        share = lambda n: F.floor(n * F.col("_tessera_copies") / F.col("_tessera_rows"))
+        joined = joined.withColumn("_tessera_nth", nth).withColumn("_tessera_copies", share(F.col("_tessera_nth")) - share(F.col("_tessera_nth") - 1)).where("_tessera_copies > 0")
+    copies = F.sequence(F.lit(1).cast("long"), F.col("_tessera_copies").cast("long"))
+    return joined.withColumn("_tessera_copy", F.explode(copies)).select(*[F.col(c) for c in docs.columns])
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
