@@ -350,3 +350,170 @@ def test_wrapped_licences(spark):
             want.append((len(rows) - 1, [f], 1))
     got = licences.scan_licences(spark.createDataFrame(rows, "doc_id long, text string"), model)
     assert sorted((r.doc_id, r.families, r.n_licence) for r in got.collect()) == want
+
+
+def brute_windows(rows):
+    """Words kept of (id, text) rows in order; rows equal in both are one document."""
+    seen, out = {}, {}
+    for n, row in enumerate(rows):
+        if row in out:
+            continue
+        seq = WORD.findall(row[1] or "")
+        gone = [False] * len(seq)
+        for s in range(len(seq) - 19):
+            if seen.setdefault(tuple(seq[s : s + 20]), (n, s)) != (n, s):
+                gone[s : s + 20] = [True] * 20
+        out[row] = (len(seq), sum(gone), " ".join(x for x, g in zip(seq, gone, strict=True) if not g))
+    return out
+
+
+def test_substring_repeated_and_null_ids(spark):
+    rng = random.Random(8)
+    text = lambda n: " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(n))
+    a, b, c, d = text(40), text(40), text(60), text(40)
+    rows = [(1, a), (5, b), (5, a + " " + c), (5, b), (7, None), (9, c), (None, d), (None, text(50)), (None, d + " end"), ((1 << 63) - 1, d)]
+    got = substring.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept_text) for r in got.collect())
+    ordered = []  # by id, then by a hash of the text, nulls last
+    for r in spark.createDataFrame(rows, "doc_id long, text string").withColumn("h", F.xxhash64("text")).collect():
+        both = [x for x in rows if x[0] == r.doc_id]
+        many = r.doc_id is not None and len(set(both)) > 1
+        h = r.h | 1 if r.doc_id is None else r.h & -2 if many else 0
+        ordered.append((((1 << 63) - 1 if r.doc_id is None else r.doc_id, h), (r.doc_id, r.text)))
+    want = brute_windows([x for _, x in sorted(ordered, key=lambda x: x[0])])
+    assert got == sorted((str(r[0]), *want[r]) for r in rows)
+    assert sum(r[2] == 0 for r in got if r[0] == "5") == 2  # what repeats nothing loses nothing, whatever its id
+
+
+def test_substring_index_goes_on_in_a_later_job(spark, tmp_path):
+    from tessera.llm.common import Scratch, with_sub
+
+    rng = random.Random(9)
+    passages = [" ".join(f"p{rng.randint(0, 10**6)}" for _ in range(30)) for _ in range(5)]
+    rows = [(i, " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(25)) + " " + rng.choice(passages)) for i in range(24)]
+    want, got, done = brute_windows(rows), {}, []
+    for part in range(6):
+        index = substring.FingerprintIndex(spark, 4, fanout=2, path=f"file://{tmp_path}/runs")  # as a new job does
+        assert len(index.runs) <= 2
+        done += rows[4 * part : 4 * part + 4]
+        texts = with_sub(spark.createDataFrame(done, "id long, text string"), Scratch(spark, "test"))
+        for r in index.add(texts.where(F.col("id") >= 4 * part), texts).collect():
+            got.setdefault(r.id, set()).update(range(r.start, r.end))
+    assert {i: len(got.get(i, ())) for i, _ in rows} == {r[0]: want[r][1] for r in rows}
+
+
+def test_line_templates_against_brute_force(spark):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    kinds = [[word() for _ in range(8)] for _ in range(12)]
+    rows = []
+    for i in range(40):
+        lines = []
+        for _ in range(rng.randint(0, 6)):
+            if rng.random() < 0.6:
+                line = list(rng.choice(kinds[: 2 + i // 4]))
+                line[5] = rng.choice([word(), f"{rng.randint(0, 99)}"])
+                lines.append(" ".join(line))
+            else:
+                lines.append(" ".join(word() for _ in range(rng.randint(1, 9))))
+        rows.append((i if i % 9 else None, "\n".join(lines)))
+    rows += [(3, rows[3][1]), (4, "same id, other text here"), (None, None)]
+    docs, where = {}, {}
+    order = lambda r: (r[0] is None, r[0] or 0)
+    for i, t in rows:
+        for n, line in enumerate((t or "").split("\n")):
+            for k, kind in enumerate(kinds):
+                x = line.split(" ")
+                if x[:5] + x[6:] == kind[:5] + kind[6:]:
+                    docs.setdefault(k, set()).add((i, t if i is None else None))
+                    where.setdefault(k, []).append((order((i, t)), t, n))
+    got = {}
+    for r in line_templates.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got.setdefault((r.doc_id, r.n_lines, r.n_dropped, r.kept_text), 0)
+    drop, first = {}, {}
+    for k, at in where.items():
+        if len(docs[k]) >= 5:
+            first[k] = min(a[0] for a in at)
+            for o, t, n in at:
+                drop.setdefault((o, t), {})[n] = k
+    for i, t in set(rows):
+        if t is None:
+            continue
+        lines, gone = t.split("\n"), drop.get((order((i, t)), t), {})
+        keep = set()
+        for k in set(gone.values()):
+            if first[k] == order((i, t)):
+                keep.add(min(n for n, x in gone.items() if x == k))
+        kept = [x for n, x in enumerate(lines) if n not in gone or n in keep]
+        if i is not None or not keep:
+            assert (i, len(lines), len(lines) - len(kept), "\n".join(kept)) in got, (i, t)
+    assert len(drop) > 5
+
+
+def test_mixing_tells_texts_of_one_id_apart(spark):
+    rows = [(1, "a b c", "x"), (1, "d e", "y"), (1, "d e", "y"), (None, "f g h i", "x"), (None, "j", "y"), (2, None, "x"), (3, "k l", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("copies", F.lit("clash")).withColumn("size", F.lit(0))
+    mixed = mixing.mixed_documents(df)
+    assert mixed.columns == df.columns
+    from collections import Counter
+
+    keyed = df.withColumn("doc_id", F.xxhash64("doc_id", "text"))
+    want = Counter()
+    taken = {(r.doc_id, r.source): 0 for r in keyed.collect()}
+    for r in mixing.mix(keyed).collect():
+        taken[r.doc_id, r.source] += r.copies
+    for r in mixed.withColumn("key", F.xxhash64("doc_id", "text")).collect():
+        want[r.key, r.source] += 1
+        assert (r.doc_id, r.text, r.source) in rows
+    for source in ("x", "y", None):  # each source's words come near its target
+        assert abs(sum(len((r.text or "").split()) for r in mixed.collect() if r.source == source) - next(r.target for r in mixing.mix(df).collect() if r.source == source)) <= 4
+
+
+def test_pipeline_stages_with_odd_rows(spark, tmp_path):
+    import corpus_pipeline as c
+
+    text = lambda s, n=30: " ".join(f"{s}{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(n))
+    rows = [(None, text("aa"), "en", "s"), (None, text("bb"), "en", None), (None, text("bb"), "en", None), (4, text("cc"), "en", "s"), (4, text("dd"), "en", "s"), (5, text("cc") + " more", "en", "s"), (6, None, "en", "s"), (7, "", None, None), (8, "!", None, "s"), (9, text("ee", 3000), None, "t")]
+    schema = "doc_id long, text string, lang string, source string"
+    spark.createDataFrame([(1, text("dd"))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    extra = ("id", "n", "label", "token", "key", "copies", "score", "lang_pred", "contaminated", "n_words", "least", "sub", "_tessera_key")
+    df = spark.createDataFrame(rows, schema).withColumns({x: F.lit("clash") for x in extra if x != "_tessera_key"})
+    stages = dict(c.STAGES)
+    kept = stages["jaccard_join"](spark, df, str(tmp_path))
+    assert kept.columns == df.columns
+    got = sorted((str(r.doc_id), r.text or "") for r in kept.collect())
+    # null ids stay, copies go, texts of one id are told apart; of the two near copies of "cc" one stays
+    near = [x for x in got if x[1].startswith("cc")]
+    assert len(near) == 1 and sorted(x for x in got if x not in near) == sorted([("None", text("aa")), ("None", text("bb")), ("4", text("dd")), ("6", ""), ("7", ""), ("8", "!"), ("9", text("ee", 3000))])
+    clean = stages["decontamination"](spark, df, str(tmp_path))
+    assert clean.columns == df.columns and sorted(str(r.text) for r in clean.collect()) == sorted(str(r[1]) for r in rows if r[1] != text("dd"))
+    named = stages["language_id"](spark, df, str(tmp_path))
+    assert named.columns == df.columns and {r.text for r in named.collect()} <= {r[1] for r in rows if r[1] and r[1] != "!"}
+    assert stages["mixing"](spark, df, str(tmp_path)).columns == df.columns
+    tokens = stages["token_files"](spark, df, str(tmp_path)).collect()
+    assert sorted(str(r.doc_id) for r in tokens) == sorted(str(r[0]) for r in rows)
+    for name, stage in c.STAGES:
+        out = stage(spark, df.limit(0), str(tmp_path))
+        assert out.count() == 0 and (name == "token_files" or out.columns == df.columns)
+
+
+def test_odd_texts_are_found():
+    import pyarrow as pa
+
+    texts = ["a b\nc", "", " a", "a ", "a  b", "a\tb", "a\u00a0b", "a\u2003b", "a\u3000b", "\u2019x y", "\u00c2x", "a\n\nb", "x\n", "\u1680", "é è"]
+    want = [bool(t) and bool(re.search(r"[^\S \n]|[ \n][ \n]|^[ \n]|[ \n]\Z", t)) for t in texts]
+    assert token_files.odd_texts(*kernels.text_buffer(pa.array(texts))).tolist() == want
+
+
+def test_encoder_forgets_what_is_rare(monkeypatch):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(token_files, "REMEMBER", 60)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    enc, tok, rng = token_files.Encoder(path), Tokenizer.from_file(path), random.Random(2)
+    for _ in range(30):
+        texts = [" ".join(rng.choice(["the", "of", f"x{rng.randint(0, 999)}", "don't,", "naïve"]) for _ in range(20)) for _ in range(3)] + [None, "", "a\nb c\nd", "a  b"]
+        ids, lengths = enc.encode(pa.array(texts), 2)
+        want = [[*tok.encode(t or "", add_special_tokens=False).ids, 2] for t in texts]
+        assert ids.tolist() == [x for w in want for x in w] and lengths.tolist() == [len(w) for w in want]
