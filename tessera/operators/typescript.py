@@ -34,12 +34,35 @@ class Token:
         self.kind, self.text, self.start, self.line = kind, text, start, line
 
 
-def lex(code: str) -> list[Token]:
+#: After these a value follows, so that ``<`` begins JSX and ``/`` a regular expression.
+_BEFORE_VALUE = frozenset("( , = ? : && || ?? { [ => ; } ! & | + return default case typeof await yield".split())
+#: ``<T,>`` and ``<T extends`` are type parameters also where JSX could stand.
+_TYPE_PARAMETER = re.compile(r"<[A-Za-z_$][\w$]*\s*(?:,|extends\b)")
+
+
+def lex(code: str, jsx: bool = False) -> list[Token]:
+    """Tokens of a file. With ``jsx`` the text between tags gives none; what stands in braces there is code again."""
     out: list[Token] = []
     at, line, n = 0, 1, len(code)
+    # what surrounds this place: "code" with the braces open in it, "open" or "close" in a tag, "text" between tags
+    modes: list[list] = [["code", 0]]
     while at < n:
+        mode = modes[-1]
+        if mode[0] == "text":
+            end = at
+            while end < n and code[end] not in "<{":
+                end += 1
+            line += code.count("\n", at, end)
+            at = end
+            if at == n:
+                break
+            out.append(Token("op", code[at], at, line))
+            at += 1
+            modes.append(["code", 1] if code[at - 1] == "{" else ["close" if code.startswith("/", at) else "open"])
+            continue
         last = out[-1] if out else None
-        if code[at] == "/" and (last is None or last.kind == "op" and last.text not in (")", "]", "}") or last.text in ("return", "typeof", "case")):
+        value = last is None or last.text in _BEFORE_VALUE and last.kind in ("op", "name")
+        if mode[0] == "code" and code[at] == "/" and (value and last is not None and last.text != "}" or last is None or last.kind == "op" and last.text not in (")", "]", "}")):
             m = _REGEX.match(code, at)
             if m:
                 out.append(Token("regex", m.group(), at, line))
@@ -64,22 +87,59 @@ def lex(code: str) -> list[Token]:
             out.append(Token("str", text, at, line))
         elif kind not in ("space", "comment"):
             out.append(Token(kind, text, at, line))
+            if kind == "op":
+                _turn(modes, text, code, at, jsx and value, out)
+        elif kind == "comment" and mode[0] != "code" and text.startswith("//"):
+            text = "/"  # in a tag this is no comment
         line += text.count("\n")
         at += len(text)
     return out
 
 
+def _turn(modes: list[list], text: str, code: str, at: int, value: bool, out: list[Token]) -> None:
+    """What surrounds the place after an operator."""
+    mode = modes[-1]
+    if mode[0] == "code":
+        if text == "{":
+            mode[1] += 1
+        elif text == "}" and mode[1]:
+            mode[1] -= 1
+            if not mode[1] and len(modes) > 1:
+                modes.pop()
+        elif text == "<" and value and re.match(r"<[A-Za-z_$>]", code[at : at + 2]) and not _TYPE_PARAMETER.match(code, at):
+            modes.append(["open"])
+    elif text == "{":
+        modes.append(["code", 1])
+    elif text == ">":
+        modes.pop()
+        if mode[0] == "close":
+            if modes[-1][0] == "text":
+                modes.pop()
+        elif len(out) < 2 or out[-2].text != "/":  # not <x/>
+            modes.append(["text"])
+
+
 def import_kind(source: str) -> str:
     return "relative" if source.startswith(("./", "../")) else "alias" if source.startswith(("@", "~")) else "external"
 
 
+#: Words that begin a statement, that go on with one on a new line, and that leave one unfinished at the end of a line.
+_STARTS = frozenset("export import const let var function class interface type enum async abstract declare namespace if for while switch try return throw".split())
+_GOES_ON = frozenset("instanceof in of as satisfies extends implements from else catch finally".split())
+_UNFINISHED = frozenset("export default async abstract declare const let var function class interface type enum new typeof await extends implements import from as in of else case void delete".split())
+
+
 class Extractor:
     """All seven relations of one file."""
 
     def __init__(self, path: str, code: str):
-        self.path, self.code, self.t = path, code, lex(code)
+        self.path, self.code, self.t = path, code, lex(code, path.lower().endswith("x"))
         self.rows: dict[str, list[dict]] = {k: [] for k in schemas.AST}
         self.close = self._pairs()
+        self.opened = {b: a for a, b in self.close.items()}
+        self._statements()
+        self.owner: dict[int, tuple[int, str]] = {}  # the brace of a body: where its function or class begins, and what it is
+        self.later: list[tuple[dict, int]] = []  # rows whose export is told when all bodies are known
 
     def _pairs(self) -> dict[int, int]:
         stack, out, match = [], {}, {")": "(", "]": "[", "}": "{"}
@@ -93,6 +153,36 @@ class Extractor:
                     out[stack.pop()] = i
         return out
 
+    def _statements(self) -> None:
+        """For each token the bracket around it and the first token of its statement."""
+        self.around, self.begin = [-1] * len(self.t), list(range(len(self.t)))
+        stack: list[list] = [[-1, None]]  # bracket, begin of the statement now open
+        for i, t in enumerate(self.t):
+            if i in self.opened:
+                while len(stack) > 1 and stack[-1][0] != self.opened[i]:
+                    stack.pop()
+                if len(stack) > 1:
+                    stack.pop()
+            top = stack[-1]
+            if i and top[1] is not None and self._ends(i):
+                top[1] = None
+            if top[1] is None:
+                top[1] = i
+            self.around[i], self.begin[i] = top
+            if t.kind == "op" and t.text == ";":
+                top[1] = None
+            if i in self.close:
+                stack.append([i, None])
+
+    def _ends(self, i: int) -> bool:
+        """Whether a statement ends before token i without a semicolon."""
+        now, last = self.t[i], self.t[i - 1]
+        if now.text in _STARTS and now.kind == "name" and last.text == "}":
+            return True
+        if now.line == last.line or now.kind == "op" and now.text not in ("@", "{") or now.text in _GOES_ON:
+            return False
+        return last.kind in ("num", "str", "regex") or last.text in (")", "]", "}", ">") or last.kind == "name" and last.text not in _UNFINISHED
+
     def text(self, i: int) -> str:
         return self.t[i].text if 0 <= i < len(self.t) else ""
 
@@ -187,6 +277,7 @@ class Extractor:
                 while j < n and self.text(j) != "{":
                     j += 1
                 classes.append((j, self.close.get(j, n - 1)))
+                self.owner[j] = (i - (self.text(i - 1) == "abstract"), "class")
                 head = self.raw(i, j) if j < n else ""
                 if name and name[:1].isupper() and re.search(r"extends[^{]*Component", head):
                     self._component(name, "class", [], i)
@@ -208,6 +299,7 @@ class Extractor:
                         self._function(name, "generator" if star else "function", is_async, p, i, body)
                     if body:
                         self.spans.append((*body, name))
+                        self.owner[body[0]] = (lead, "function")
             elif x == "=>":
                 p = i - 1
                 start = None
@@ -221,6 +313,7 @@ class Extractor:
                 self._function(name, "arrow", is_async, start if self.text(start) == "(" else None, start - is_async, body, [self.text(start)] if self.t[start].kind == "name" else None)
                 if body:
                     self.spans.append((*body, name))
+                    self.owner[body[0]] = (start - is_async, "arrow")
         for a, b in classes:
             i = a + 1
             while i < b:
@@ -230,24 +323,24 @@ class Extractor:
                     if self.text(p) == "(" and p in self.close and self.text(i - 1) != ".":
                         body = self._body(self.close[p])
                         if body and self.text(body[0] - 1) != "=>":
-                            star = self.text(i - 1) == "*"
                             self._function(x, "method", "async" in (self.text(i - 1), self.text(i - 2)), p, i, body, exported=False)
                             self.spans.append((*body, x))
+                            self.owner[body[0]] = (i, "method")
                             i = body[1] + 1
-                            del star
                             continue
                 if x in ("{", "(", "["):
                     i = self.close.get(i, i)
                 i += 1
-        self.spans.sort()
+        self.spans.sort(key=lambda x: (x[0], -x[1]))
+        for row, at in self.later:
+            row["exported"] = self._exported(at)
 
     def _open_before(self, arrow: int) -> int | None:
         """The parenthesis of the parameters before an arrow, over a return type."""
         j = arrow - 1
         for j in range(arrow - 1, max(-1, arrow - 60), -1):
             if self.text(j) == ")":
-                opened = next((a for a, b in self.close.items() if b == j and self.text(a) == "("), None)
-                return opened
+                return self.opened.get(j)
             if self.text(j) in (";", "{", "}") and j != arrow - 1:
                 return None
         return None
@@ -255,6 +348,13 @@ class Extractor:
     def _bound_name(self, i: int) -> str | None:
         """The variable that an arrow is bound to, also through a call around it."""
         j = i - 1
+        if self.text(j) == ">":  # type parameters
+            depth = 0
+            for k in range(j, max(-1, j - 60), -1):
+                depth += {">": 1, "<": -1}.get(self.text(k), 0)
+                if not depth:
+                    j = k - 1
+                    break
         for _ in range(2):
             if self.text(j) == "(":
                 j -= 1
@@ -270,33 +370,49 @@ class Extractor:
             k, back = k - 1, back + 1
         return self.name(k + 1) if self.text(k) in ("const", "let", "var") else None
 
-    def _exported(self, i: int) -> bool:
-        """An export statement begins the statement of token i or of one just around it."""
-        j, up = i, 0
-        while j >= 0 and up < 3:
-            x = self.text(j)
-            if x == "export":
-                return True
-            if x == "}" or x == ")" or x == "]":
-                j = next((a for a, b in self.close.items() if b == j), j)
-                if x == "}" and j >= 0 and self.text(j - 1) not in ("=", "(", ","):
-                    return False
-            elif x == ";":
+    def _exported(self, i: int, most: int = 4) -> bool:
+        """Whether an export statement is among the ``most`` nearest nodes around the definition that begins at token i."""
+        up = 0
+        while up < most:
+            first = self.begin[i]
+            declared = self.text(first + (self.text(first) == "export")) in ("const", "let", "var") and first < i
+            up += 2 if declared else 0  # declarator and declaration
+            if self.text(first) == "export":
+                return up + 1 <= most
+            brace = self.around[i]
+            if brace < 0:
                 return False
-            elif x == "{":
-                up += 1
-            j -= 1
+            if self.text(brace) == "(":
+                callee = self.t[brace - 1] if brace else None
+                called = callee is not None and (callee.kind == "name" and callee.text not in KEYWORDS or callee.text in (")", "]", ">"))
+                up += 2 - 2 * declared if called else 1
+                i = self._object_start(brace - 1) if called else brace
+            elif self.text(brace) == "[":
+                up, i = up + 1, brace
+            else:
+                at, kind = self.owner.get(brace, (brace, "block"))
+                inside = 0 if declared or self.begin[i] == i else 1  # return or expression statement, field of a class or an object
+                up += inside + (1 if kind == "block" and not self._is_statement(brace) else 2)
+                i = at
         return False
 
+    def _is_statement(self, brace: int) -> bool:
+        """Whether a brace opens the block of a statement and not an object."""
+        return self.text(brace - 1) in (")", "else", "try", "finally", "do", ";", "{", "}", "")
+
     def _function(self, name, kind, is_async, params, at, body, given=None, exported=None) -> None:
         names = given if given is not None else self._params(params) if params is not None else []
-        out = self._exported(at) if exported is None else exported
-        self.rows["functions"].append({"file": self.path, "name": name, "kind": kind, "async": is_async, "params": names, "line": self.t[at].line, "exported": out})
+        row = {"file": self.path, "name": name, "kind": kind, "async": is_async, "params": names, "line": self.t[at].line, "exported": False}
+        self.rows["functions"].append(row)
+        if exported is None:
+            self.later.append((row, at))
         if name and name[:1].isupper() and kind != "method" and body and self._jsx(*body):
             self._component(name, "arrow" if kind == "arrow" else "function", self._props(params) if params is not None else [], at)
 
     def _component(self, name, kind, props, at) -> None:
-        self.rows["components"].append({"file": self.path, "name": name, "kind": kind, "props": props, "exported": self._exported(at), "line": self.t[at].line})
+        row = {"file": self.path, "name": name, "kind": kind, "props": props, "exported": False, "line": self.t[at].line}
+        self.rows["components"].append(row)
+        self.later.append((row, at))
 
     def _jsx(self, a: int, b: int) -> bool:
         for i in range(a, min(b, len(self.t) - 2) + 1):
@@ -422,22 +538,11 @@ class Extractor:
 
     # calls and hooks ------------------------------------------------------------------
 
-    def _caller(self, i: int) -> str | None:
-        best = None
-        for a, b, name in self.spans:
-            if a > i:
-                break
-            if i <= b:
-                best = (name,)
-        return best[0] if best else None
-
     def _object_start(self, i: int) -> int:
         """First token of the member chain that ends at token i."""
-        opened = {b: a for a, b in self.close.items()} if not hasattr(self, "_opened") else self._opened
-        self._opened = opened
         while i >= 0:
             if self.text(i) in (")", "]"):
-                i = opened.get(i, i) - 1
+                i = self.opened.get(i, i) - 1
                 if i >= 0 and (self.t[i].kind == "name" and self.text(i) not in KEYWORDS or self.text(i) in (")", "]")):
                     continue
                 return i + 1
@@ -450,7 +555,14 @@ class Extractor:
     def _calls(self) -> None:
         declared = {(r["line"], r["name"]) for r in self.rows["functions"] if r["kind"] in ("function", "generator", "method")}
         seen: dict[int, dict] = {}
+        inside: list[tuple[int, int, str | None]] = []  # bodies around this token, the innermost last
+        spans, nth = self.spans, 0
         for i, t in enumerate(self.t):
+            while nth < len(spans) and spans[nth][0] <= i:
+                inside.append(spans[nth])
+                nth += 1
+            while inside and inside[-1][1] < i:
+                inside.pop()
             if t.kind != "name" or t.text in KEYWORDS:
                 continue
             p = self._skip_generics(i + 1) if self.text(i + 1) == "<" else i + 1
@@ -461,7 +573,7 @@ class Extractor:
             member = self.text(i - 1) in (".", "?.")
             start = self._object_start(i) if member else i
             new = self.text(start - 1) == "new"
-            row = {"file": self.path, "caller": self._caller(i), "callee": t.text, "callee_object": self.raw(start, i - 2) if member else None, "kind": "new" if new else "call", "line": self.t[start].line}
+            row = {"file": self.path, "caller": inside[-1][2] if inside else None, "callee": t.text, "callee_object": self.raw(start, i - 2) if member else None, "kind": "new" if new else "call", "line": self.t[start].line}
             seen[self.t[start].start - (4 if new else 0)] = row  # of calls that begin at one place the outermost stays
             if not member and not new and _HOOK.match(t.text):
                 self.rows["hooks"].append({"file": self.path, "name": t.text, "caller": row["caller"], "args_count": self._count(p), "line": t.line})
@@ -482,20 +594,33 @@ def extract(path: str, code: str) -> dict[str, list[dict]]:
     return Extractor(path, code).run()
 
 
-_OUT = T.StructType([T.StructField(k, T.ArrayType(v)) for k, v in schemas.AST.items()])
+_OUT = T.StructType([*(T.StructField(k, T.ArrayType(v)) for k, v in schemas.AST.items()), T.StructField("path", T.StringType()), T.StructField("error", T.StringType())])
 
 
 def extract_files(files: DataFrame) -> DataFrame:
-    """One row a TypeScript file with the seven relations as arrays; unreadable files give no row."""
+    """One row a TypeScript file with the seven relations as arrays. A file that is not text, or on which extraction
+    fails, has none of them but an error (see :func:`rejects`); the others are not touched by it."""
+
+    def one(path: str, code: str | None) -> dict:
+        if code is None:
+            return {"path": path, "error": "not valid UTF-8"}
+        try:
+            return {**extract(path, code), "path": path, "error": None}
+        except Exception as e:  # one odd file must not end the job; it is reported
+            return {"path": path, "error": f"{type(e).__name__}: {e}"}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [extract(p, c) for p, c in zip(batch["path"], batch["content"], strict=True)]
-            yield pd.DataFrame(rows, columns=list(schemas.AST))
+            rows = [one(p, c) for p, c in zip(batch["path"], batch["content"], strict=True)]
+            yield pd.DataFrame(rows, columns=_OUT.names).astype(object).where(lambda d: d.notna(), None) if rows else pd.DataFrame(columns=_OUT.names)
 
-    readable = files.where(F.col("content").isNotNull() & F.lower("path").rlike(r"\.tsx?$"))
-    return readable.select("path", "content").mapInPandas(run, _OUT)
+    return files.where(F.lower("path").rlike(r"\.tsx?$")).select("path", "content").mapInPandas(run, _OUT)
 
 
 def relation(extracted: DataFrame, name: str) -> DataFrame:
     return extracted.select(F.explode(name).alias("r")).select("r.*")
+
+
+def rejects(extracted: DataFrame) -> DataFrame:
+    """(path, error) of the files that could not be read."""
+    return extracted.where("error is not null").select("path", "error")

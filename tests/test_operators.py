@@ -166,3 +166,48 @@ def test_chunks(spark):
     r = got["src/app/x/a.ts:function:f:5"]
     assert r.text == "// two\n\n/** doc */\nexport function f() {\n}" and r.feature == "x"
     assert "src/app/x/a.ts:function:anonymous:6" in got
+
+
+def _functions(code, path="a.tsx"):
+    return [(r["name"], r["exported"]) for r in typescript.extract(path, code)["functions"]]
+
+
+def test_statements_without_semicolons():
+    assert _functions("export default helper\nfunction late(){}") == [("late", False)]
+    assert _functions("export const y = () => 1\nconst z = () => 2") == [("y", True), ("z", False)]
+    assert _functions("export async function d(){}\nasync function c(){}\nfunction e(){} export function g(){}") == [("d", True), ("c", False), ("e", False), ("g", True)]
+
+
+def test_export_within_four_nodes():
+    assert _functions("export function f(){ function g(){} const h = () => 1; return () => 2 }") == [("f", True), ("g", True), ("h", False), (None, True)]
+    assert _functions("export default memo(() => 1)\nexport const k = memo(() => 2);") == [(None, True), ("k", False)]
+    assert _functions("export class A { m = () => 1; n(){} }\nexport const a = { b: () => 1 }") == [(None, True), (None, False), ("n", False)]
+
+
+def test_jsx_text_is_no_code():
+    code = "export function A(){ return <p>Don't {f(1)}</p>; }\nfunction B(){ return g(2) }"
+    assert _functions(code) == [("A", True), ("B", False)]
+    assert [(r["caller"], r["callee"]) for r in typescript.extract("a.tsx", code)["calls"]] == [("A", "f"), ("B", "g")]
+    code = "const X = () => (<div a={() => k(1)} b='x>y'>it's <b/> text (not call) {list.map(i => <li key={i}>{i} can't</li>)}</div>)\nexport const Y = () => <><X/>isn't</>\nexport function Z(){ use() }"
+    assert [(r["name"], r["exported"]) for r in typescript.extract("a.tsx", code)["components"]] == [("X", False), ("Y", True)]
+    assert [r["callee"] for r in typescript.extract("a.tsx", code)["calls"]] == ["k", "map", "use"]
+    assert _functions("const a = <T,>(x: T) => x;\nconst b = x < y && z > 3;\nexport function e(){}") == [("a", False), ("e", True)]
+
+
+def test_extraction_time_grows_with_the_file():
+    import time
+
+    took = []
+    for n in (4000, 16000):
+        code = "\n".join(f"export const f{i} = (a, b) => g{i}(a.b.c({i}))" for i in range(n))
+        began = time.process_time()
+        assert len(typescript.extract("x.ts", code)["calls"]) == 2 * n
+        took.append(time.process_time() - began)
+    assert took[1] < 10 * took[0] + 0.5
+
+
+def test_odd_files_are_reported(spark, monkeypatch):
+    files = spark.createDataFrame([("a.ts", "f()"), ("b.ts", None), ("c.txt", "f()")], "path string, content string")
+    out = typescript.extract_files(files)
+    assert [tuple(r) for r in typescript.rejects(out).collect()] == [("b.ts", "not valid UTF-8")]
+    assert [r.callee for r in typescript.relation(out, "calls").collect()] == ["f"]
