@@ -35,15 +35,15 @@ from operator import add
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import LOWER, UPPER, Scratch, table
+from .common import LOWER, UPPER, Scratch, merged, table
 from .components import components
 
 #: Shingles counted together in a task; a token seen so often among them is reported.
-BLOCK, SEEN = 4_000_000, 8
+BLOCK, SEEN = 2_000_000, 6
 #: Most tokens that the frequency table holds (16 bytes each); beyond, only the more frequent ones.
 TABLE = 1_000_000
 #: Reported count from which a token counts as frequent.
@@ -154,9 +154,9 @@ def _prefixes(k: int, num: int, den: int, frequent):
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts compressed: a third of what their hashes take when they travel to be compared."""
-    press = zstandard.ZstdCompressor(level=6)
+    press = zstandard.ZstdCompressor(level=3)
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([press.compress(t.as_py().encode()) for t in batch.column("text")], pa.binary())], ["id", "z"])
+        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([press.compress((t.as_py() or "").encode()) for t in batch.column("text")], pa.binary())], ["id", "z"])
 
 
 def _compare(k: int, num: int, den: int):
@@ -207,23 +207,27 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     order = np.argsort(token)
     frequent = spark.sparkContext.broadcast((token[order], kept["c"].to_numpy(np.int64)[order]))
 
-    prefix = scratch.save(rows.mapInArrow(_prefixes(words, num, den, frequent), "id long, n long, l long, tokens array<long>, b0 long, b1 long, b2 long, b3 long"), "prefix")
-    entries = prefix.join(reps, F.col("id") == F.col("r"), "left_semi").select("id", "n", "l", *BITS, F.posexplode("tokens").alias("pos", "token"))
-    shared = scratch.save(entries.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select(F.col("token").alias("k")), "shared")
-    entries = entries.join(shared, F.col("token") == F.col("k")).withColumn("nth", F.row_number().over(Window.partitionBy("id").orderBy("pos")))
-    of_id = Window.partitionBy("id")
-    own = F.coalesce(F.max(F.when(F.col("nth") == F.col("l"), F.col("pos"))).over(of_id) - F.col("l") + 1, F.col("n")).alias("own")
-    depth = (F.col("pos") - (F.col("n") - F.floor((F.col("n") * num + den - 1) / den))).alias("depth")
-    entries = scratch.save(entries.select("token", "id", "n", "l", depth, own, F.min("pos").over(of_id).cast("long").alias("own1"), *BITS), "entries")
-    needed = scratch.save(entries.select(F.col("id").alias("r")).distinct(), "needed")
-    texts = scratch.save(rows.join(needed, F.col("id") == F.col("r"), "left_semi").mapInArrow(_pack, "id long, z binary"), "texts")
-    scratch.drop(prefix, shared, needed, counted)
+    made = scratch.save(rows.mapInArrow(_prefixes(words, num, den, frequent), "id long, n long, l long, tokens array<long>, b0 long, b1 long, b2 long, b3 long"), "made")
+    prefix = scratch.save(made.join(merged(reps), F.col("id") == F.col("r"), "left_semi"), "prefix")
+    frequent.unpersist()
+    scratch.drop(made, counted)
+    shared = scratch.save(prefix.select(F.explode("tokens").alias("k")).groupBy("k").agg(F.count("*").alias("c")).where("c > 1").select("k"), "shared")
+    met = prefix.select("id", F.posexplode("tokens").alias("pos", "token")).join(merged(shared), F.col("token") == F.col("k"))
+    met = met.groupBy(F.col("id").alias("i")).agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("met"))
+    nodes = prefix.select("id", "n", "l", *BITS).join(merged(met), F.col("id") == F.col("i"))
+    own = F.when(F.size("met") >= F.col("l"), F.try_element_at("met", F.col("l").cast("int"))["pos"] - F.col("l") + 1).otherwise(F.col("n"))
+    # documents that share a token of their prefix: size, l, bitmap, own tokens, and the shared tokens with their places.
+    nodes = scratch.save(nodes.select("id", "n", "l", own.alias("own"), F.col("met")[0]["pos"].cast("long").alias("own1"), *BITS, "met"), "nodes")
+    texts = rows.mapInArrow(_pack, "id long, z binary").join(merged(nodes.select(F.col("id").alias("r"))), F.col("id") == F.col("r"), "left_semi")
+    texts = scratch.save(texts, "texts")
+    scratch.drop(prefix, shared)
 
     def verify(pairs: DataFrame) -> DataFrame:
         one = texts.select(F.col("id").alias("i"), F.col("z").alias("s"))
         two = texts.select(F.col("id").alias("j"), F.col("z").alias("t"))
-        with_a = pairs.join(one, F.col("a") == F.col("i")).select("a", "b", "s")
-        return with_a.join(two, F.col("b") == F.col("j")).select("a", "b", "s", "t").mapInArrow(_compare(words, num, den), "a long, b long")
+        with_a = one.join(merged(pairs), F.col("a") == F.col("i")).select("a", "b", "s")
+        with_b = with_a.join(merged(two), F.col("b") == F.col("j")).select("a", "b", "s", "t")
+        return with_b.mapInArrow(_compare(words, num, den), "a long, b long")
 
     def close(n1: str, n2: str):
         return F.least(n1, n2) * den >= F.greatest(n1, n2) * num
@@ -237,19 +241,30 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         apart = reduce(add, (F.bit_count(F.col(x).bitwiseXOR(F.col(y))) for x, y in zip(bits1, bits2, strict=True)))
         return (F.col(n1) + F.col(n2)) * (den - num) >= apart * (den + num)
 
+    def renamed(of: DataFrame, s: str) -> DataFrame:
+        return of.select(*[F.col(c).alias(f"{c}_{s}") for c in of.columns])
+
+    def bits(s: str) -> list[str]:
+        return [f"{b}_{s}" for b in BITS]
+
     stars = spark.createDataFrame([], "node long, label long")
     for seed in (None, 1):
-        labelled, apart = _apart(entries, stars, seed, scratch)
-        cand = labelled.join(apart, F.col("token") == F.col("k")).where((F.col("label") != F.col("lead.label")) & close("n", "lead.n") & near("n", "lead.n", BITS, [f"lead.{b}" for b in BITS]))
-        cand = cand.groupBy("id", F.col("lead.id").alias("leader")).agg(F.count("*").alias("c"), F.first("l").alias("l")).where("2 * c >= l")
-        best = scratch.save(cand.groupBy(F.col("id").alias("a")).agg(F.max(F.struct("c", "leader")).alias("m")).select("a", F.col("m.leader").alias("b")), "pairs")
+        labelled, apart = _apart(nodes, stars, seed, scratch)
+        cand = _entries(labelled).join(merged(apart), F.col("token") == F.col("k")).where("id != leader")
+        cand = cand.groupBy(F.col("id").alias("a"), F.col("leader").alias("b")).agg(F.count("*").alias("c"))
+        known = labelled.select("id", "n", "l", "label", *BITS)
+        cand = cand.join(merged(renamed(known, "x")), F.col("a") == F.col("id_x")).where("2 * c >= l_x").join(merged(renamed(known, "y")), F.col("b") == F.col("id_y"))
+        cand = cand.where((F.col("label_x") != F.col("label_y")) & close("n_x", "n_y") & near("n_x", "n_y", bits("x"), bits("y")))
+        best = scratch.save(cand.groupBy("a").agg(F.max(F.struct("c", "b")).alias("m")).select("a", F.col("m.b").alias("b")), "pairs")
         stars = _grow(stars, verify(best), scratch)
-        scratch.drop(best)
-    labelled, apart = _apart(entries, stars, 2, scratch)
-    open_ = scratch.save(labelled.join(apart.select("k"), F.col("token") == F.col("k"), "left_semi"), "open")
+        scratch.drop(best, labelled, apart)
+    labelled, apart = _apart(nodes, stars, 2, scratch)
     slack = F.col("n") - F.floor((F.col("n") * num + den - 1) / den)
-    x, y = (open_.withColumn("reach", F.col("l") + slack).withColumn("pos", F.col("depth") + slack).select(*[F.col(c).alias(f"{c}_{s}") for c in ("token", "id", "n", "l", "reach", "pos", "own", "own1", "label", *BITS)]) for s in "xy")
-    similar = near("n_x", "n_y", [f"{b}_x" for b in BITS], [f"{b}_y" for b in BITS])
+    open_ = _entries(labelled).join(merged(apart.select("k")), F.col("token") == F.col("k"), "left_semi").select("token", F.col("id").alias("i"), "pos")
+    known = labelled.select("id", "n", "own", "own1", "label", (F.col("l") + slack).alias("reach"), "l", *BITS)
+    open_ = scratch.save(open_.join(merged(known), F.col("i") == F.col("id")).drop("i"), "open")
+    x, y = renamed(open_, "x"), renamed(open_, "y")
+    similar = near("n_x", "n_y", bits("x"), bits("y"))
     met = x.join(y, (F.col("token_x") == F.col("token_y")) & (F.col("id_x") < F.col("id_y")) & (F.col("label_x") != F.col("label_y")) & close("n_x", "n_y") & similar)
     # The sizes of a pair give its least overlap; with it a stored prefix reaches beyond l common tokens, to these:
     met = met.withColumn("least", overlap("n_x", "n_y"))
@@ -261,7 +276,7 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     pairs = met.groupBy(F.col("id_x").alias("a"), F.col("id_y").alias("b"), "l").agg(F.count("*").alias("c")).where("c >= l").select("a", "b")
     pairs = scratch.save(pairs, "pairs")
     stars = _grow(stars, verify(pairs), scratch)
-    scratch.drop(entries, texts, open_, pairs)
+    scratch.drop(nodes, labelled, apart, texts, open_, pairs)
 
     found = sizes.join(classes.select(F.col("f1").alias("g1"), F.col("f2").alias("g2"), F.col("n").alias("m"), "rep"), (F.col("f1") == F.col("g1")) & (F.col("f2") == F.col("g2")) & (F.col("n") == F.col("m")), "left")
     found = scratch.save(found.select("id", "n", F.when(F.col("id").isNotNull(), F.coalesce("rep", "id")).alias("rep")), "found")
@@ -269,14 +284,20 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("label", "rep").alias("component_id"), F.col("rep").alias("class_id"))
 
 
-def _apart(entries: DataFrame, stars: DataFrame, seed: int | None, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """Entries with their component, and the tokens under which components differ, each with a leader: the
+def _entries(nodes: DataFrame) -> DataFrame:
+    """A row for each shared token of a document, with its place in the prefix."""
+    return nodes.select("id", F.explode("met").alias("e")).select("id", "e.token", F.col("e.pos").cast("long").alias("pos"))
+
+
+def _apart(nodes: DataFrame, stars: DataFrame, seed: int | None, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Documents with their component, and the tokens under which components differ, each with a leader: the
     document with the fewest own tokens, or by a seed any."""
-    labelled = entries.join(stars, F.col("id") == F.col("node"), "left").select(*entries.columns, F.coalesce("label", "id").alias("label"))
+    labelled = nodes.join(merged(stars), F.col("id") == F.col("node"), "left").select(*nodes.columns, F.coalesce("label", "id").alias("label"))
     labelled = scratch.save(labelled, "labelled")
     key = F.col("own") if seed is None else F.xxhash64("id", F.lit(seed))
-    apart = labelled.groupBy(F.col("token").alias("k")).agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min(F.struct(key.alias("key"), "id", "n", "label", *BITS)).alias("lead")).where("lo != hi")
-    return labelled, scratch.save(apart.select("k", "lead"), "apart")
+    entries = labelled.select("id", "label", key.alias("key"), F.explode("met.token").alias("k"))
+    apart = entries.groupBy("k").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min(F.struct("key", "id")).alias("lead")).where("lo != hi")
+    return labelled, scratch.save(apart.select("k", F.col("lead.id").alias("leader")), "apart")
 
 
 def _grow(stars: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
