@@ -1,29 +1,36 @@
 """Substring dedup over a log-structured fingerprint index.
 
-Every window of 20 words is told by its *anchor*, the least of the 11 hashes of 10 consecutive words in it,
-and by its own 64-bit hash. Neighbouring windows mostly share an anchor, so about one entry for six
-words covers all windows: (64-bit anchor hash, offsets of the windows in which it is the anchor, the
-hash of each of these windows). Equal windows have the same anchor at the same offset.
+Every window of 20 words is told by its *anchor*, the least of the 11 hashes of 10 consecutive words in it.
+Neighbouring windows mostly share an anchor, so about one entry for six words covers all windows: the anchor's
+64-bit hash, the offsets of the windows in which it is the anchor, a 64-bit digest of these windows in
+order, and the place. Equal windows have the same anchor at the same offset.
 
 The index is a list of immutable runs. A run holds, for each bucket of anchor hashes, the entries that a
-batch of documents was first to bring, sorted by hash. A new batch (documents later than all indexed
+batch of documents was first to bring, sorted. A new batch (documents later than all indexed
 ones) is deduplicated in one shuffle by bucket, where its sorted entries are merged with those of the runs:
-anchors met once are done; under the others windows are verified by their offset and own hash (64 bits besides the anchor's), and
-every window but the first is a repeat. What is new becomes
-the next run; when there are more than ``fanout`` runs they are merged into one.
+
+* anchors met once are done;
+* an entry with the anchor, offsets and digest of an earlier one repeats all of its windows (128 bits);
+* where entries of one anchor differ otherwise, some of their windows may be equal. These few entries are
+  *verified*: their windows are read again from the texts and compared by offset and 128 bits of two more
+  hashes of their words; every window but the first is a repeat.
+
+What is new becomes the next run; when there are more than ``fanout`` runs they are merged into one. With a
+``path`` the runs stay in that folder, and a later job goes on from there.
 
 Entries equal within a task are merged before the shuffle (only the earliest travels, the rest are
 repeats already), so a passage in a third of all documents costs one entry a task.
 
-Defined results: a null text has no words; texts of fewer than 20 words lose nothing; rows with one id
-count as one document; null ids come last; ties (same id, same start) are no repeats of each
-other; other columns are ignored; an empty table gives no rows.
+Defined results: a null text has no words; texts of fewer than 20 words lose nothing; documents come in order of id,
+null ids last, and rows with one id (or none) in order of a hash of their text; rows equal in id and text are one
+document, and both lose the same words; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,74 +38,57 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import Scratch, table
+from .common import Scratch, merged, packed, table, unpacked, with_sub
 
 WINDOW, GRAM = 20, 10
 SPAN = WINDOW - GRAM  # words of a window beside its anchor; also the largest offset
 #: Entries that a task holds before it sends them on.
 HELD = 300_000
 ENTRIES_A_BUCKET = 250_000
+#: Stands for a null id; a null id's sub is odd, that of any other even.
 LAST_ID = (1 << 63) - 1
 BLOBS = "bucket int, kind int, data binary"
-#: Kinds of blobs: entries of the batch, entries of runs, ranges of repeated words.
-NEW, OLD, RANGES = 0, 1, 2
-RANGE = np.dtype([("id", "<i8"), ("start", "<i8"), ("end", "<i8")])
-ENTRY = np.dtype([("fp", "<u8"), ("lo", "u1"), ("hi", "u1"), ("id", "<i8"), ("at", "<u4")])
-
-
-class Entries:
-    """Anchors, and the hashes of their windows: those of entry i, by falling offset, lie at bounds[i] of ``windows``."""
-
-    def __init__(self, rows: np.ndarray, windows: np.ndarray):
-        self.rows, self.windows = rows, windows
-        self.bounds = np.concatenate([[0], np.cumsum(rows["hi"].astype(np.int64) - rows["lo"] + 1)])
-
-    def __len__(self) -> int:
-        return len(self.rows)
-
-    def take(self, at: np.ndarray) -> Entries:
-        owner, nth = self.expand(at)
-        return Entries(self.rows[at], self.windows[self.bounds[owner] + nth])
-
-    def expand(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For each window of the entries ``at``: its entry, and which of the entry's windows it is."""
-        width = self.bounds[at + 1] - self.bounds[at]
-        return np.repeat(at, width), np.arange(int(width.sum())) - np.repeat(np.cumsum(width) - width, width)
-
-    @staticmethod
-    def join(parts: list[Entries]) -> Entries:
-        return Entries(np.concatenate([p.rows for p in parts]), np.concatenate([p.windows for p in parts]))
-
-    def pack(self, with_place: bool) -> bytes:
-        r = self.rows
-        parts = [r["fp"].tobytes(), (r["lo"] | r["hi"] << 4).tobytes(), self.windows.astype("<u8").tobytes()]
-        if with_place:
-            parts += [r["id"].tobytes(), r["at"].tobytes()]
-        raw = b"".join(parts)
-        return len(r).to_bytes(8, "little") + len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
-
-    @staticmethod
-    def unpack(blob: bytes, with_place: bool) -> Entries:
-        n, size = int.from_bytes(blob[:8], "little"), int.from_bytes(blob[8:16], "little")
-        raw = pa.decompress(blob[16:], size, "zstd", asbytes=True)
-        rows = np.zeros(n, ENTRY)
-        rows["fp"] = np.frombuffer(raw, "<u8", n)
-        offsets = np.frombuffer(raw, "u1", n, 8 * n)
-        rows["lo"], rows["hi"] = offsets & 15, offsets >> 4
-        total = int((rows["hi"].astype(np.int64) - rows["lo"] + 1).sum())
-        windows = np.frombuffer(raw, "<u8", total, 9 * n)
-        if with_place:
-            rows["id"] = np.frombuffer(raw, "<i8", n, 9 * n + 8 * total)
-            rows["at"] = np.frombuffer(raw, "<u4", n, 17 * n + 8 * total)
-        return Entries(rows, windows)
-
-
-def entries_of(batch: pa.RecordBatch) -> Entries:
+#: Kinds of blobs: entries of the batch, entries of runs, ranges of repeated words, entries to be verified.
+NEW, OLD, RANGES, OPEN = 0, 1, 2, 3
+RANGE = np.dtype([("id", "<i8"), ("sub", "<i8"), ("start", "<i8"), ("end", "<i8")])
+ENTRY = np.dtype([("fp", "<u8"), ("lo", "u1"), ("hi", "u1"), ("digest", "<u8"), ("id", "<i8"), ("sub", "<i8"), ("at", "<u4")])
+#: Entries sort by what tells them apart, then by place.
+SAME, PLACE = ("fp", "lo", "hi", "digest"), ("id", "sub", "at")
+
+
+def pack(e: np.ndarray) -> bytes:
+    raw = b"".join(e[c].tobytes() for c in ENTRY.names)
+    return len(e).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+
+
+def unpack(blob: bytes) -> np.ndarray:
+    n = int.from_bytes(blob[:8], "little")
+    raw = pa.decompress(blob[8:], n * ENTRY.itemsize, "zstd", asbytes=True)
+    out, at = np.zeros(n, ENTRY), 0
+    for c in ENTRY.names:
+        out[c] = np.frombuffer(raw, ENTRY[c], n, at)
+        at += n * ENTRY[c].itemsize
+    return out
+
+
+def in_order(e: np.ndarray, *first: np.ndarray) -> np.ndarray:
+    """Entries sorted; ``first`` goes between what tells them apart and their places. Merges what is sorted already."""
+    return np.lexsort((*(e[c] for c in reversed(PLACE)), *first, *(e[c] for c in reversed(SAME))))
+
+
+def differs(e: np.ndarray, columns: tuple[str, ...]) -> np.ndarray:
+    """Whether each entry differs in these columns from the one before it."""
+    out = np.ones(len(e), bool)
+    out[1:] = np.logical_or.reduce([e[c][1:] != e[c][:-1] for c in columns])
+    return out
+
+
+def entries_of(batch: pa.RecordBatch) -> np.ndarray:
     """Anchors of all windows of the texts, with where they lie."""
     w = K.words(batch.column("text"), K.NON_SPACE)
     s = K.whole_grams(w, WINDOW)
     if not len(s):
-        return Entries(np.zeros(0, ENTRY), np.zeros(0, np.uint64))
+        return np.zeros(0, ENTRY)
     g = K.gram_hashes(w.hash, GRAM)
     best, arg = g[s], np.zeros(len(s), np.int64)
     for j in range(1, SPAN + 1):
@@ -108,44 +98,36 @@ def entries_of(batch: pa.RecordBatch) -> Entries:
     p = s + arg
     begin = np.flatnonzero(np.append(True, p[1:] != p[:-1]))
     at, doc = p[begin], w.doc[p[begin]]
+    with np.errstate(over="ignore"):  # a window of 20 words is two grams of 10
+        own = K.mix(K.mix(g[s] * np.uint64(0x9E3779B97F4A7C15) ^ g[s + GRAM]) + arg.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        digest = np.add.reduceat(own, begin)
     rows = np.zeros(len(at), ENTRY)
-    rows["fp"], rows["hi"], rows["lo"] = g[at], arg[begin], arg[np.append(begin[1:], len(p)) - 1]
-    rows["id"] = np.asarray(batch.column("id").fill_null(LAST_ID))[doc]
+    rows["fp"], rows["hi"], rows["lo"], rows["digest"] = g[at], arg[begin], arg[np.append(begin[1:], len(p)) - 1], digest
+    rows["id"], rows["sub"] = (np.asarray(batch.column(c).fill_null(LAST_ID))[doc] for c in ("id", "sub"))
     rows["at"] = at - w.bounds[doc]
-    with np.errstate(over="ignore"):  # a window of 20 words is two grams of 10
-        own = K.mix(g[s] * np.uint64(0x9E3779B97F4A7C15) ^ g[s + GRAM])
-    return Entries(rows, own)
+    return rows
 
 
-def repeats_of(rows: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(rows), RANGE)
-    at = rows["at"].astype(np.int64)
-    out["id"], out["start"], out["end"] = rows["id"], at - rows["hi"], at - rows["lo"] + WINDOW
-    return out
+def repeats_of(e: np.ndarray) -> bytes:
+    out = np.zeros(len(e), RANGE)
+    at = e["at"].astype(np.int64)
+    out["id"], out["sub"], out["start"], out["end"] = e["id"], e["sub"], at - e["hi"], at - e["lo"] + WINDOW
+    return out.tobytes()
 
 
 def _map(buckets: int):
-    def send(held: list[Entries]) -> Iterator[pa.RecordBatch]:
-        e = Entries.join(held)
-        r = e.rows
-        with np.errstate(over="ignore"):  # a digest of an entry's windows, in order
-            owner, nth = e.expand(np.arange(len(e)))
-            each = K.mix(e.windows + nth.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-            total = np.concatenate([[np.uint64(0)], np.cumsum(each, dtype=np.uint64)])
-            digest = total[e.bounds[1:]] - total[e.bounds[:-1]]
-        order = np.lexsort((r["at"], r["id"], r["hi"], r["lo"], digest, r["fp"]))
-        r, digest = r[order], digest[order]
-        same = np.append(False, np.logical_and.reduce([r[c][1:] == r[c][:-1] for c in ("fp", "lo", "hi")] + [digest[1:] == digest[:-1]]))
-        # equal place, as of rows with one id, is no repeat
-        same[1:] &= (r["id"][1:] != r["id"][:-1]) | (r["at"][1:] != r["at"][:-1])
+    def send(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        e = np.concatenate(held)
+        e = e[in_order(e)]
+        same = ~differs(e, SAME) & differs(e, PLACE)  # equal place, as of rows with one id and text, is no repeat
         rows = []
         if same.any():
-            rows.append((int(r["fp"][0] % np.uint64(buckets)), RANGES, repeats_of(r[same]).tobytes()))
-        e = e.take(order[~same])
-        b = (e.rows["fp"] % np.uint64(buckets)).astype(np.int64)
+            rows.append((int(e["fp"][0] % np.uint64(buckets)), RANGES, repeats_of(e[same])))
+        e = e[~same]
+        b = (e["fp"] % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(b, kind="stable")
         cut = np.searchsorted(b[order], np.arange(buckets + 1))
-        rows += [(i, NEW, e.take(order[x:y]).pack(True)) for i, (x, y) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if y > x]
+        rows += [(i, NEW, pack(e[order[x:y]])) for i, (x, y) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if y > x]
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], ["bucket", "kind", "data"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,94 +147,123 @@ def _map(buckets: int):
 
 def _merge(keep: bool):
     def run(table_: pa.Table) -> pa.Table:
-        """One bucket: what repeats, and (if to be kept) the entries that are new, sorted by anchor."""
+        """One bucket: what repeats, what is to be verified, and (if to be kept) the entries that are new, sorted."""
         kinds = table_.column("kind").to_pylist()
         blobs = [x.as_py() for x in table_.column("data")]
         bucket = table_.column("bucket")[0].as_py()
-        old = [Entries.unpack(d, False) for k, d in zip(kinds, blobs, strict=True) if k == OLD]
-        new = [Entries.unpack(d, True) for k, d in zip(kinds, blobs, strict=True) if k == NEW]
+        old = [unpack(d) for k, d in zip(kinds, blobs, strict=True) if k == OLD]
+        new = [unpack(d) for k, d in zip(kinds, blobs, strict=True) if k == NEW]
         out = [(bucket, RANGES, d) for k, d in zip(kinds, blobs, strict=True) if k == RANGES]
         del blobs
         if new:
-            e = Entries.join([*old, *new])
-            r = e.rows
-            placed = np.arange(len(e)) >= sum(map(len, old))  # false: from a run
-            order = np.argsort(r["fp"], kind="stable")
-            fp = r["fp"][order]
-            edge = np.flatnonzero(np.append(True, fp[1:] != fp[:-1]))
-            size = np.diff(np.append(edge, len(e)))
-            many = np.zeros(len(e), bool)
-            many[order] = np.repeat(size > 1, size)
-            fresh = placed & ~many  # anchors met once
-            k, nth = e.expand(np.flatnonzero(many))
-            key, offset = e.windows[e.bounds[k] + nth], r["hi"][k].astype(np.int64) - nth
-            start = r["at"][k].astype(np.int64) - offset
-            order = np.lexsort((start, r["id"][k], placed[k], offset, key, r["fp"][k]))
-            k, key, offset, start = k[order], key[order], offset[order], start[order]
-            fp, ident, mine = r["fp"][k], r["id"][k], placed[k]
-            head = np.append(True, (fp[1:] != fp[:-1]) | (key[1:] != key[:-1]) | (offset[1:] != offset[:-1]))[: len(k)]
-            lead = np.maximum.accumulate(np.where(head, np.arange(len(k)), 0))
-            repeat = mine & ~((ident == ident[lead]) & (start == start[lead]) & mine[lead])
-            gone = np.zeros(int(repeat.sum()), RANGE)
-            gone["id"], gone["start"] = ident[repeat], start[repeat]
-            gone["end"] = gone["start"] + WINDOW
-            if len(gone):
-                gone = gone[np.lexsort((gone["start"], gone["id"]))]
-                begin = np.flatnonzero(np.append(True, (gone["id"][1:] != gone["id"][:-1]) | (gone["start"][1:] > gone["end"][:-1])))
-                merged = gone[begin].copy()
-                merged["end"] = gone["end"][np.append(begin[1:], len(gone)) - 1]
-                out.append((bucket, RANGES, merged.tobytes()))
-            fresh[k[mine & ~repeat]] = True
+            e = np.concatenate([*old, *new])
+            fresh = np.arange(len(e)) >= sum(map(len, old))
+            order = in_order(e, fresh)
+            e, fresh = e[order], fresh[order]
+            head = differs(e, SAME)
+            lead = np.maximum.accumulate(np.where(head, np.arange(len(e)), 0))
+            away = np.logical_or.reduce([e[c] != e[c][lead] for c in PLACE])
+            if (fresh & away).any():
+                out.append((bucket, RANGES, repeats_of(e[fresh & away])))
+            e, fresh = e[head], fresh[head]
+            group = np.cumsum(differs(e, ("fp",))) - 1
+            doubt = (np.bincount(group) > 1) & (np.bincount(group, weights=fresh) > 0)
+            if doubt.any():
+                out.append((bucket, OPEN, pack(e[doubt[group]])))
             if keep and fresh.any():
-                at = np.flatnonzero(fresh)
-                out.append((bucket, OLD, e.take(at[np.argsort(r["fp"][at], kind="stable")]).pack(False)))
+                out.append((bucket, OLD, pack(e[fresh])))
         return pa.table({"bucket": pa.array([x[0] for x in out], pa.int32()), "kind": pa.array([x[1] for x in out], pa.int32()), "data": pa.array([x[2] for x in out], pa.binary())})
 
     return run
 
 
 def _compact(table_: pa.Table) -> pa.Table:
-    e = Entries.join([Entries.unpack(x.as_py(), False) for x in table_.column("data")])
-    e = e.take(np.argsort(e.rows["fp"], kind="stable"))
-    return pa.table({"bucket": pa.array([table_.column("bucket")[0].as_py()], pa.int32()), "kind": pa.array([OLD], pa.int32()), "data": pa.array([e.pack(False)], pa.binary())})
+    e = np.concatenate([unpack(x.as_py()) for x in table_.column("data")])
+    return pa.table({"bucket": pa.array([table_.column("bucket")[0].as_py()], pa.int32()), "kind": pa.array([OLD], pa.int32()), "data": pa.array([pack(e[in_order(e)])], pa.binary())})
 
 
 def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for d in batch.column("data"):
             r = np.frombuffer(d.as_py(), RANGE)
-            yield pa.RecordBatch.from_arrays([pa.array(r["id"]), pa.array(r["start"]), pa.array(r["end"])], ["id", "start", "end"])
+            yield pa.RecordBatch.from_arrays([pa.array(r[c]) for c in RANGE.names], list(RANGE.names))
+
+
+def _doubtful(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for d in batch.column("data"):
+            e = unpack(d.as_py())
+            yield pa.RecordBatch.from_arrays([pa.array(e["id"]), pa.array(e["sub"]), pa.array(e["at"].astype(np.int64) - e["hi"]), pa.array(e["at"].astype(np.int64) - e["lo"])], ["id", "sub", "first", "last"])
+
+
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The windows that start at the asked words of each document, by two hashes."""
+    for whole in unpacked(batches):
+        for batch in K.slices(whole, "text"):
+            w = K.words(batch.column("text"), K.NON_SPACE)
+            doc = np.repeat(np.arange(batch.num_rows), np.asarray(batch.column("asked").value_lengths()))
+            asked = batch.column("asked").flatten()
+            first, last = (np.asarray(asked.field(c)) for c in ("first", "last"))
+            start = K.spread(first, last - first + 1)
+            doc = np.repeat(doc, last - first + 1)
+            at = w.bounds[doc] + start
+            h = [K.gram_hashes(K.mix(w.hash ^ K.seeded(seed)), WINDOW, seed)[at] for seed in (7, 8)]
+            rows = pa.array(doc)
+            yield pa.RecordBatch.from_arrays([pa.array(h[0].view(np.int64)), pa.array(h[1].view(np.int64)), batch.column("id").take(rows), batch.column("sub").take(rows), pa.array(start)], ["h1", "h2", "id", "sub", "start"])
 
 
 class FingerprintIndex:
     """Runs of a growing corpus. ``add`` takes documents that come after all before and returns their repeats."""
 
-    def __init__(self, spark: SparkSession, buckets: int, fanout: int = 4):
+    def __init__(self, spark: SparkSession, buckets: int, fanout: int = 4, path: str | None = None):
         self.scratch, self.buckets, self.fanout = Scratch(spark, "index"), buckets, fanout
-        self.runs: list[DataFrame] = []
+        self.kept = Scratch(spark, "runs", path) if path else self.scratch
+        self.runs: list[DataFrame] = self.kept.tables("run", BLOBS) if path else []
 
-    def add(self, docs: DataFrame, keep: bool = True) -> DataFrame:
-        """docs (id, text) to ranges (id, start, end) of repeated words, end exclusive; ranges may overlap.
+    def merge(self, docs: DataFrame, keep: bool = True) -> tuple[DataFrame, DataFrame]:
+        """docs (id, sub, text) to ranges (id, sub, start, end) of repeated words, end exclusive, which may overlap, and to
+        stretches (id, sub, first, last) of window starts to be verified, of this batch and of documents before.
         Without ``keep`` the batch is only compared and makes no run, as for the last one of a corpus."""
-        blobs = docs.select("id", "text").mapInArrow(_map(self.buckets), BLOBS)
+        blobs = docs.select("id", "sub", "text").mapInArrow(_map(self.buckets), BLOBS)
         for run in self.runs:
             blobs = blobs.unionByName(run)
-        done = self.scratch.save(blobs.groupBy("bucket").applyInArrow(_merge(keep), BLOBS), "run")
-        self.runs.append(done.where(F.col("kind") == OLD))
-        self.runs[-1]._tessera_path = done._tessera_path
-        ranges = self.scratch.save(done.where(F.col("kind") == RANGES).select("data").mapInArrow(_spread, "id long, start long, end long"), "ranges")
+        done = self.scratch.save(blobs.groupBy("bucket").applyInArrow(_merge(keep), BLOBS), "merged")
+        if keep:
+            self.runs.append(self.kept.save(done.where(F.col("kind") == OLD), "run"))
+        ranges = self.scratch.save(done.where(F.col("kind") == RANGES).select("data").mapInArrow(_spread, "id long, sub long, start long, end long"), "ranges")
+        doubts = self.scratch.save(done.where(F.col("kind") == OPEN).select("data").mapInArrow(_doubtful, "id long, sub long, first long, last long"), "doubts")
+        self.scratch.drop(done)
         if len(self.runs) > self.fanout:
-            merged = self.runs[0]
+            both = self.runs[0]
             for run in self.runs[1:]:
-                merged = merged.unionByName(run)
-            kept = self.scratch.save(merged.groupBy("bucket").applyInArrow(_compact, BLOBS), "run")
-            self.scratch.drop(*self.runs)
+                both = both.unionByName(run)
+            kept = self.kept.save(both.groupBy("bucket").applyInArrow(_compact, BLOBS), "run")
+            self.kept.drop(*self.runs)
             self.runs = [kept]
-        return ranges
+        return ranges, doubts
+
+    def verify(self, doubts: DataFrame, texts: DataFrame) -> DataFrame:
+        """Of the stretches of windows those that repeat, as ranges; texts (id, sub, text) has all of their documents."""
+        asked = doubts.groupBy(F.col("id").alias("i"), F.col("sub").alias("s")).agg(F.collect_set(F.struct("first", "last")).alias("asked"))
+        rows = packed(texts.select(F.coalesce("id", F.lit(LAST_ID)).alias("id"), "sub", "text"))
+        rows = rows.join(merged(asked), (F.col("id") == F.col("i")) & (F.col("sub") == F.col("s"))).select("id", "sub", "text", "asked")
+        windows = self.scratch.save(rows.mapInArrow(_windows, "h1 long, h2 long, id long, sub long, start long"), "windows")
+        first = windows.groupBy(F.col("h1").alias("f1"), F.col("h2").alias("f2")).agg(F.min(F.struct("id", "sub", "start")).alias("first"))
+        found = windows.join(merged(first), (F.col("h1") == F.col("f1")) & (F.col("h2") == F.col("f2"))).where(F.struct("id", "sub", "start") != F.col("first"))
+        out = self.scratch.save(found.select("id", "sub", "start", (F.col("start") + WINDOW).alias("end")).distinct(), "verified")
+        self.scratch.drop(windows)
+        return out
+
+    def add(self, docs: DataFrame, texts: DataFrame) -> DataFrame:
+        """Ranges of a batch; texts has the documents of the batch and of all batches before."""
+        ranges, doubts = self.merge(docs)
+        new = docs.select(F.coalesce("id", F.lit(LAST_ID)).alias("i"), F.col("sub").alias("s"))
+        verified = self.verify(doubts, texts)
+        return ranges.unionByName(verified.join(merged(new), (F.col("id") == F.col("i")) & (F.col("sub") == F.col("s")), "left_semi"))
 
 
 def _keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for whole in batches:
+    for whole in unpacked(batches):
         for batch in K.slices(whole, "text"):
             words, gone, kept = [], [], []
             for t, ranges in zip(batch.column("text").to_pylist(), batch.column("ranges").to_pylist(), strict=True):
@@ -272,19 +283,24 @@ def _keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: int = 2) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_text) of every row, feeding the corpus to an index in ``batches`` batches by id."""
     spark = docs.sparkSession
+    scratch = Scratch(spark, "substring")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     stats = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("size"), F.percentile_approx("id", [i / batches for i in range(1, batches)], 1000).alias("cuts")).first()
+    rows = with_sub(rows, scratch)
     index = FingerprintIndex(spark, max(24, stats["size"] // (36 * ENTRIES_A_BUCKET)))
     place = F.coalesce("id", F.lit(LAST_ID))
     cuts = sorted(set(stats["cuts"] or []))
-    ranges = None
+    ranges, doubts = [], []
     for lo, hi in zip([None, *cuts], [*cuts, None], strict=True):
         part = rows if lo is None else rows.where(place > lo)
-        found = index.add(part if hi is None else part.where(place <= hi), keep=hi is not None)
-        ranges = found if ranges is None else ranges.unionByName(found)
+        found = index.merge(part if hi is None else part.where(place <= hi), keep=hi is not None)
+        ranges.append(found[0])
+        doubts.append(found[1])
     index.scratch.drop(*index.runs)
-    by_doc = ranges.groupBy(F.col("id").alias("_id")).agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
-    return rows.join(by_doc, place == F.col("_id"), "left").select("id", "text", "ranges").mapInArrow(_keep, "id long, n_words long, n_removed long, kept_text string").withColumnRenamed("id", "doc_id")
+    verified = index.verify(reduce(DataFrame.unionByName, doubts), rows)
+    by_doc = reduce(DataFrame.unionByName, [*ranges, verified]).groupBy(F.col("id").alias("_id"), F.col("sub").alias("_sub")).agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
+    joined = packed(rows).join(merged(by_doc), (place == F.col("_id")) & (F.col("sub") == F.col("_sub")), "left")
+    return joined.select("id", "text", "ranges").mapInArrow(_keep, "id long, n_words long, n_removed long, kept_text string").withColumnRenamed("id", "doc_id")
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
