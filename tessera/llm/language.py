@@ -7,8 +7,8 @@ prediction's score is the share of the best language after scaling by the square
 words, so it lies between 0 and 1.
 
 Learning: at most about ``docs_per_lang`` labelled texts a language (chosen by a hash of the text), whose
-words are counted in Spark; at most ``words_per_lang`` words a language and ``grams_per_order`` n-grams an
-order make the model, so its size has a fixed bound and it can be sent to every executor. Texts without a
+words are counted in Spark. All their words and n-grams make the model, as sorted hashes and logs in single precision;
+the sample alone bounds its size, so that it can be sent to every executor. Texts without a
 label or without text teach nothing. Prediction reads whole texts and nothing but the text.
 
 Defined results: null text, or none with a letter, gives ``und`` with score 0, as does a model that has
@@ -19,7 +19,6 @@ predictions; input columns named like the result's are replaced; an empty table
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,99 +29,120 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import kernels as K
-from .common import Scratch, table
+from .common import small_batches, table
 
 UNKNOWN = "und"
 ORDERS = (5, 4, 3, 2, 1)
-#: Unseen words that a worker remembers.
-REMEMBER = 200_000
 _LETTER = re.compile(r"[^\W\d_]")
 COLUMNS = ("lang_pred", "score")
 
 
+def _points(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Code points of all words with their borders, and each word's start and length."""
+    points = np.frombuffer((b"^" + b"$^".join(words) + b"$").decode("utf-8", "replace").encode("utf-32-le"), "<u4")
+    start = np.flatnonzero(points == 94)  # no word holds a border
+    return points, start, np.diff(np.append(start, len(points)))
+
+
+def _grams(points: np.ndarray, start: np.ndarray, length: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the n-grams of words (a shorter word is one), the word of each, and how many a word has."""
+    count = np.maximum(length - n + 1, 1)
+    owner = np.repeat(np.arange(len(start)), count)
+    at, size = K.spread(start, count), np.minimum(length, n)[owner]
+    h = np.full(len(at), K.seeded(n), np.uint64)
+    with np.errstate(over="ignore"):
+        for i in range(n):
+            now = (h ^ points[np.minimum(at + i, len(points) - 1)]) * np.uint64(0xFF51AFD7ED558CCD)
+            h = np.where(i < size, now ^ now >> np.uint64(32), h)
+    return K.mix(h), owner, count
+
+
+def _logs(f: np.ndarray) -> np.ndarray:
+    return np.log((f + 0.5) / (f.sum(0) + 0.5 * max(1, len(f)))).astype(np.float32)
+
+
+def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where wanted hashes are, and whether they are there."""
+    if not len(keys):
+        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return at, keys[at] == wanted
+
+
 @dataclass
 class Model:
     langs: list[str]
     keys: np.ndarray  # sorted hashes of known words
     logs: np.ndarray  # (words, languages)
-    grams: dict[int, dict[str, int]]
-    gram_logs: dict[int, np.ndarray]
-
-    def unseen(self, word: str) -> np.ndarray:
-        marked = f"^{word}$"
+    grams: dict[int, tuple[np.ndarray, np.ndarray]]  # the same of n-grams, by order
+
+    def unseen(self, words: list[bytes]) -> np.ndarray:
+        """Scores of words that are not known."""
+        out = np.zeros((len(words), len(self.langs)))
+        if not words:
+            return out
+        points, start, length = _points(words)
+        left = np.arange(len(words))
         for n in ORDERS:
-            cut = [marked[i : i + n] for i in range(max(1, len(marked) - n + 1))]
-            index = self.grams.get(n, {})
-            known = [index[g] for g in cut if g in index]
-            if known and 2 * len(known) >= len(cut):
-                return self.gram_logs[n][known].mean(0)
-        return np.zeros(len(self.langs))
-
-
-def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", docs_per_lang: int = 5000, words_per_lang: int = 40_000, grams_per_order: int = 60_000) -> Model:
-    spark = labelled.sparkSession
-    scratch = Scratch(spark, "language")
+            h, owner, count = _grams(points, start[left], length[left], n)
+            keys, logs = self.grams[n]
+            at, known = _find(keys, h)
+            at, owner = at[known], owner[known]
+            hits = np.bincount(owner, minlength=len(left))
+            good = (hits > 0) & (2 * hits >= count)
+            for j in range(len(self.langs)):
+                total = np.bincount(owner, weights=logs[at, j], minlength=len(left))
+                out[left[good], j] = total[good] / hits[good]
+            left = left[~good]
+            if not len(left):
+                break
+        return out
+
+
+def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", docs_per_lang: int = 1000) -> Model:
     rows = labelled.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).where("lang is not null and text is not null")
     totals = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}  # one row a language
     langs = sorted(totals, key=lambda x: x.encode())
     if not langs:
-        return Model([], np.zeros(0, np.uint64), np.zeros((0, 0)), {}, {})
+        return Model([], np.zeros(0, np.uint64), np.zeros((0, 0)), {})
     share = F.lit(0.0)
     for x in langs:
         share = F.when(F.col("lang") == x, F.lit(min(1.0, docs_per_lang / totals[x]))).otherwise(share)
     chosen = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < share * 1_000_000)
     # the same words as K.LETTERS finds: a-z and every character beyond ASCII
     words = chosen.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"[a-z\x{80}-\x{10FFFF}]+"), F.lit(0))).alias("word"))
-    counts = scratch.save(words.groupBy("lang", "word").agg(F.count("*").alias("n")), "words")
-    least: dict[str, int] = {}
-    room = dict.fromkeys(langs, words_per_lang)
-    for r in sorted(counts.groupBy("lang", "n").agg(F.count("*").alias("c")).collect(), key=lambda r: -r.n):
-        if room[r.lang] >= 0 and (room := room | {r.lang: room[r.lang] - r.c})[r.lang] >= 0:
-            least[r.lang] = r.n
-    bound: Column = F.lit(1 << 60)
-    for x in langs:
-        bound = F.when(F.col("lang") == x, F.lit(least.get(x, 1 << 60))).otherwise(bound)
-    kept = counts.where(F.col("n") >= bound).collect()
-    scratch.close()
-    return fit([(r.lang, r.word, r.n) for r in kept], langs, grams_per_order)
+    counts = words.groupBy("lang", "word").agg(F.count("*").alias("n")).toArrow()  # as many as the sample has words, at most
+    return fit(counts.column("lang").to_pylist(), counts.column("word"), counts.column("n").to_numpy(), langs)
 
 
-def fit(counts: list[tuple[str, str, int]], langs: list[str], grams_per_order: int) -> Model:
+def fit(lang: list[str], word: pa.ChunkedArray, n: np.ndarray, langs: list[str]) -> Model:
     at = {x: i for i, x in enumerate(langs)}
-    table_: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(len(langs)))
-    for lang, word, n in counts:
-        table_[word][at[lang]] += n
-    vocabulary = sorted(table_)
-    freq = np.array([table_[w] for w in vocabulary]) if vocabulary else np.zeros((0, len(langs)))
-
-    def logs(f: np.ndarray) -> np.ndarray:
-        return np.log((f + 0.5) / (f.sum(0) + 0.5 * max(1, len(f))))
-
-    hashes = np.concatenate([K.words(pa.array(vocabulary[i : i + 50_000], pa.string()), K.LETTERS).hash for i in range(0, len(vocabulary), 50_000)] or [np.zeros(0, np.uint64)])
+    coded = word.cast(pa.string()).combine_chunks().dictionary_encode()
+    vocabulary = coded.dictionary
+    freq = np.zeros((len(vocabulary), len(langs)))
+    np.add.at(freq, (coded.indices.to_numpy(), np.array([at[x] for x in lang], np.int64)), n)
+    hashes = np.concatenate([K.words(vocabulary.slice(i, 50_000), K.LETTERS).hash for i in range(0, len(vocabulary), 50_000)] or [np.zeros(0, np.uint64)])
     order = np.argsort(hashes)
-    grams, gram_logs = {}, {}
-    for n in ORDERS:
-        seen: Counter = Counter()
-        by: dict[str, np.ndarray] = {}
-        for word, f in zip(vocabulary, np.log1p(freq), strict=True):
-            marked = f"^{word}$"
-            for i in range(max(1, len(marked) - n + 1)):
-                g = marked[i : i + n]
-                seen[g] += 1
-                if g in by:
-                    by[g] += f
-                else:
-                    by[g] = f.copy()
-        top = [g for g, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:grams_per_order]]
-        grams[n] = {g: i for i, g in enumerate(top)}
-        gram_logs[n] = logs(np.array([by[g] for g in top]) if top else np.zeros((0, len(langs))))
-    return Model(langs, hashes[order], logs(freq)[order], grams, gram_logs)
+    weights = np.log1p(freq)
+    grams = {}
+    for k in ORDERS:
+        keys, sums = np.zeros(0, np.uint64), np.zeros((0, len(langs)))
+        for i in range(0, len(vocabulary), 50_000):
+            h, owner, _ = _grams(*_points([x.encode() for x in vocabulary.slice(i, 50_000).to_pylist()]), k)
+            new, which = np.unique(h, return_inverse=True)
+            part = np.stack([np.bincount(which, weights=weights[i + owner, j]) for j in range(len(langs))], axis=1)
+            both, where = np.unique(np.concatenate([keys, new]), return_inverse=True)
+            total = np.zeros((len(both), len(langs)))
+            total[where[: len(keys)]] += sums
+            total[where[len(keys) :]] += part
+            keys, sums = both, total
+        grams[k] = keys, _logs(sums)
+    return Model(langs, hashes[order], _logs(freq)[order], grams)
 
 
 def _predict(model, text_col: str, out: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = model.value
-        remembered: dict[int, np.ndarray] = {}
         for whole in batches:
             for batch in K.slices(whole, text_col):
                 texts = [None if t is None else t.lower() for t in batch.column(text_col).to_pylist()]
@@ -132,20 +152,10 @@ def _predict(model, text_col: str, out: pa.Schema):
                     w = K.words(pa.array(texts, pa.string()), K.LETTERS)
                     uniq, first, inverse = np.unique(w.hash, return_index=True, return_inverse=True)
                     vectors = np.zeros((len(uniq), len(m.langs)))
-                    if len(m.keys):
-                        at = np.minimum(np.searchsorted(m.keys, uniq), len(m.keys) - 1)
-                        known = m.keys[at] == uniq
-                        vectors[known] = m.logs[at[known]]
-                    else:
-                        known = np.zeros(len(uniq), bool)
-                    if len(remembered) > REMEMBER:
-                        remembered.clear()
-                    for i in np.flatnonzero(~known).tolist():
-                        h = int(uniq[i])
-                        if (v := remembered.get(h)) is None:
-                            p = first[i]
-                            v = remembered[h] = m.unseen(w.data[w.start[p] : w.end[p]].tobytes().decode("utf-8", "replace"))
-                        vectors[i] = v
+                    at, known = _find(m.keys, uniq)
+                    vectors[known] = m.logs[at[known]]
+                    new = np.flatnonzero(~known)
+                    vectors[new] = m.unseen([w.data[a:b].tobytes() for a, b in zip(w.start[first[new]].tolist(), w.end[first[new]].tolist(), strict=True)])
                     total = np.stack([np.bincount(w.doc, weights=vectors[inverse, j], minlength=len(texts)) for j in range(len(m.langs))], axis=1)
                     n = np.maximum(np.diff(w.bounds), 1)
                     z = (total - total.max(1, keepdims=True)) / np.sqrt(n)[:, None]
@@ -164,6 +174,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
     """Every row of docs with lang_pred and score."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
+    small_batches(docs.sparkSession)
     docs = docs.drop(*COLUMNS)
     schema = T.StructType([*docs.schema, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     return docs.mapInArrow(_predict(docs.sparkSession.sparkContext.broadcast(model), text_col, to_arrow_schema(schema)), schema)

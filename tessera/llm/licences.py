@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import kernels as K
-from .common import table
+from .common import small_batches, table
 
 #: The usual short notices of each family.
 NOTICES: dict[str, list[str]] = {
@@ -243,6 +243,7 @@ def scan_licences(docs: DataFrame, model: Model | None = None, text_col: str = "
     docs = docs.drop(*COLUMNS)
     model = model or train(sample_paragraphs(docs, text_col))
     schema = T.StructType([*docs.schema, T.StructField("n_paragraphs", T.LongType()), T.StructField("notices", _FOUND)])
+    small_batches(docs.sparkSession)
     found = docs.mapInArrow(_scan(docs.sparkSession.sparkContext.broadcast(model), text_col, confirm, to_arrow_schema(schema)), schema)
     return found.select(*docs.columns, "n_paragraphs", F.size("notices").cast("long").alias("n_licence"), F.array_sort(F.array_distinct("notices.family")).alias("families"), F.array_max("notices.probability").alias("confidence"), "notices")
 
