@@ -1 +1,3 @@
-"""Code-intelligence analytics on Spark: extraction, property graph, vector search and incremental refresh as DataFrames."""
+"""Code-intelligence analytics and training-data operators on Spark."""
+
+__version__ = "0.2.0"

@@ -25,15 +25,20 @@ def of_relation(rows: DataFrame, files: DataFrame, chunk_type: str) -> DataFrame
     return named.select(F.concat_ws(":", "file", F.lit(chunk_type), "name", F.col("line").cast("string")).alias("id"), text.alias("text"), "file", "line", F.lit(chunk_type).alias("chunk_type"), "name", "exported", S.infer_feature("file").alias("feature"), S.language_of("file").alias("language"), cut.alias("truncated"))
 
 
-def dedup(chunks: DataFrame) -> DataFrame:
-    """One chunk an id, an exported one before others."""
-    best = chunks.groupBy("id").agg(F.max_by(F.struct(*chunks.columns), F.col("exported")).alias("c"))
+def dedup(chunks: DataFrame, order: tuple[str, ...] = ("file", "line")) -> DataFrame:
+    """One chunk an id: the first exported one by ``order``, else the first. Partial sums, so hot ids gather nothing."""
+    first = F.struct(~F.coalesce(F.col("exported"), F.lit(False)), *order)
+    best = chunks.groupBy("id").agg(F.min_by(F.struct(*chunks.columns), first).alias("c"))
     return best.select("c.*")
 
 
-def with_dependencies(chunks: DataFrame, imports: DataFrame) -> DataFrame:
-    lists = imports.groupBy("file").agg(F.array_sort(F.collect_set("source")).alias("dependencies"))
-    return chunks.join(lists, "file", "left").withColumn("dependencies", F.coalesce("dependencies", F.array().cast("array<string>")))
+def by_type(chunks: DataFrame) -> DataFrame:
+    return chunks.groupBy("chunk_type").agg(F.count("*").alias("n"))
+
+
+def with_dependencies(chunks: DataFrame, imports: DataFrame, file: str = "file") -> DataFrame:
+    lists = imports.groupBy(file).agg(F.array_sort(F.collect_set("source")).alias("dependencies"))
+    return chunks.join(lists, file, "left").withColumn("dependencies", F.coalesce("dependencies", F.array().cast("array<string>")))
 
 
 def payload(chunks: DataFrame) -> DataFrame:

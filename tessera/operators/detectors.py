@@ -79,7 +79,8 @@ def routes(files: DataFrame) -> DataFrame:
     """(route, type, file, slot, methods, tier) of every page and API route; methods and tier of API routes only."""
     found = below_first(files, APP_DIRS).withColumn("name", F.element_at(F.split("path", "/"), -1)).where(F.col("name").isin("page.tsx", "route.ts"))
     folder = F.regexp_replace(F.col("rest"), r"(^|/)[^/]+$", "")
-    rows = found.select("path", "name", "content", S.route_of(folder).alias("r"))
+    # exploded, so that no filter on a route repeats the fold inside its condition
+    rows = found.select("path", "name", "content", F.explode(F.array(S.route_of(folder))).alias("r"))
     kind = F.when((F.col("r.type") == "page") & (F.col("name") == "route.ts"), "api").otherwise(F.col("r.type"))
     verbs = "|".join(S.METHODS)
     exported = [F.regexp_extract_all("content", F.lit(rf"export\s+{p}"), F.lit(1)) for p in (rf"(?:async\s+)?function\s+({verbs})\b", rf"const\s+({verbs})\s*=")]

@@ -29,13 +29,16 @@ def affected(changed: DataFrame, imports: DataFrame, calls: DataFrame, functions
 
 
 def merge(old: DataFrame, fresh: DataFrame, changed: DataFrame, key: str, by_prefix: bool = False) -> DataFrame:
-    """Rows of unchanged owners stay, rows of changed owners come from ``fresh``; equal rows once."""
+    """Rows of unchanged owners stay, rows of changed owners come from ``fresh``; equal rows once.
+
+    With ``by_prefix`` an owner is also a folder of a changed path: each path is joined by equality with all of its folders."""
+    paths = changed.select(F.col("path").alias("_path"))
     if by_prefix:
-        owns = lambda d: (d[key] == changed["path"]) | changed["path"].startswith(F.concat(d[key], F.lit("/")))
-    else:
-        owns = lambda d: d[key] == changed["path"]
-    kept = old.join(changed, owns(old), "left_anti")
-    return kept.unionByName(fresh.join(changed, owns(fresh), "left_semi"), allowMissingColumns=True).distinct()
+        parts = F.split("_path", "/")
+        paths = paths.select(F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/"))).alias("_path"))
+    paths = paths.distinct()
+    kept = old.join(paths, old[key] == paths["_path"], "left_anti")
+    return kept.unionByName(fresh.join(paths, fresh[key] == paths["_path"], "left_semi"), allowMissingColumns=True).distinct()
 
 
 def upsert(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:

@@ -570,6 +570,8 @@ class Extractor:
                 p += 1
             if self.text(p) != "(" or p not in self.close or self.text(i - 1) == "function" or self.text(i - 2) == "function" and self.text(i - 1) == "*" or (t.line, t.text) in declared and self.text(i - 1) not in (".", "?.", "=", "return", "(", "new"):
                 continue
+            if t.text == "async" and self.text(self.close[p] + 1) == "=>":
+                continue
             member = self.text(i - 1) in (".", "?.")
             start = self._object_start(i) if member else i
             new = self.text(start - 1) == "new"

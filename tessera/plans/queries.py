@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import graph, search, sync
+from ..operators import chunks, graph, search, sync
 from ..sources.tables import table
 from .catalogue import register
 
@@ -61,16 +61,18 @@ def vector_info(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings").agg(F.count("*").alias("points"), F.min(F.size("embedding")).cast("long").alias("dimension"), F.round(F.min(norm), 5).alias("min_norm"), F.round(F.max(norm), 5).alias("max_norm"))
 
 
+_LINES = "CASE WHEN text LIKE '%' || chr(10) THEN string_split(text, chr(10))[:-2] ELSE string_split(text, chr(10)) END"
+
+
 @register(
-    """WITH c AS (SELECT doc_id, array_to_string(string_split(text, chr(10))[1:50], chr(10)) AS body FROM documents)
-SELECT doc_id, CASE WHEN length(body) > 2000 THEN left(body, 2000) || '...' ELSE body END AS text, length(body) > 2000 AS truncated,
-       CAST(length(CASE WHEN length(body) > 2000 THEN left(body, 2000) || '...' ELSE body END) AS BIGINT) AS text_length,
-       CAST(len(string_split(CASE WHEN length(body) > 2000 THEN left(body, 2000) || '...' ELSE body END, chr(10))) AS BIGINT) AS line_count FROM c"""
+    f"""WITH c AS (SELECT doc_id, array_to_string(({_LINES})[1:50], chr(10)) AS body FROM documents), t AS (SELECT doc_id, CASE WHEN length(body) > 2000 THEN left(body, 2000) || '...' ELSE body END AS text, length(body) > 2000 AS truncated FROM c WHERE body <> '')
+SELECT doc_id, text, truncated, CAST(length(text) AS INT) AS text_length, contains(text, '/**') OR contains(text, '\"\"\"') AS has_docstring, CAST(len(string_split(text, chr(10))) AS INT) AS line_count FROM t"""
 )
 def chunk_documents(spark: SparkSession, d: str) -> DataFrame:
-    body = F.array_join(F.slice(F.split("text", "\n"), 1, 50), "\n")
-    text, cut = S.truncated(body, 2000)
-    return table(spark, d, "documents").select("doc_id", text.alias("text"), cut.alias("truncated")).select("*", F.length("text").cast("long").alias("text_length"), F.size(F.split("text", "\n")).cast("long").alias("line_count"))
+    docs = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("path"), F.col("text").alias("content"))
+    rows = docs.select(F.col("path").alias("file"), F.lit("d").alias("name"), F.lit(1).alias("line"), F.lit(True).alias("exported"))
+    found = chunks.payload(chunks.of_relation(rows, docs, "function"))
+    return found.select(F.col("file").cast("long").alias("doc_id"), "text", "truncated", "text_length", "has_docstring", "line_count")
 
 
 @register(
@@ -86,9 +88,8 @@ def preview(spark: SparkSession, d: str) -> DataFrame:
 )
 def chunk_dedup(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("id"))
-    rows = docs.join(table(spark, d, "labels").select("doc_id", "quality"), "doc_id", "left").withColumn("good", F.coalesce(F.col("quality") == 1, F.lit(False)))
-    best = rows.groupBy("id").agg(F.min_by(F.struct("doc_id", "good"), F.struct(~F.col("good"), F.col("doc_id"))).alias("b"))  # partial: no window over hot ids
-    return best.select("id", "b.doc_id", "b.good")
+    rows = docs.join(table(spark, d, "labels").select("doc_id", "quality"), "doc_id", "left").withColumn("exported", F.coalesce(F.col("quality") == 1, F.lit(False)))
+    return chunks.dedup(rows, ("doc_id",)).select("id", "doc_id", F.col("exported").alias("good"))
 
 
 @register("SELECT min(event_id) AS event_id, ts, user_id, event_type, value, props FROM events GROUP BY ALL")
@@ -99,8 +100,7 @@ def entry_dedup(spark: SparkSession, d: str) -> DataFrame:
 @register("WITH s AS (SELECT lang, string_agg(DISTINCT source, ',' ORDER BY source) AS dependencies FROM documents GROUP BY lang) SELECT doc_id, coalesce(dependencies, '') AS dependencies FROM documents LEFT JOIN s USING (lang)")
 def enrich_dependencies(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", "lang", "source")
-    lists = docs.groupBy("lang").agg(F.array_join(F.array_sort(F.collect_set("source")), ",").alias("dependencies"))
-    return docs.select("doc_id", "lang").join(lists, "lang", "left").select("doc_id", F.coalesce("dependencies", F.lit("")).alias("dependencies"))
+    return chunks.with_dependencies(docs.select("doc_id", "lang"), docs, "lang").select("doc_id", F.array_join("dependencies", ",").alias("dependencies"))
 
 
 @register(
@@ -117,7 +117,7 @@ def context_budget(spark: SparkSession, d: str) -> DataFrame:
 
 @register("SELECT (r - 1) // 32 AS batch, count(*) AS n, min(doc_id) AS first, max(doc_id) AS last FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS r FROM documents) GROUP BY 1")
 def batches(spark: SparkSession, d: str) -> DataFrame:
-    return graph.numbered(table(spark, d, "documents").select("doc_id"), 32, F.col("doc_id")).groupBy("batch").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+    return graph.numbered(table(spark, d, "documents").select("doc_id"), 32, "doc_id").groupBy("batch").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
 
 
 @register("SELECT page_id, url FROM pages WHERE url GLOB 'https://*/en/*'")
@@ -143,9 +143,13 @@ def _hrefs(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", "url", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("href"))
 
 
-@register(f"SELECT CASE WHEN href LIKE './%' OR href LIKE '../%' THEN 'relative' WHEN href LIKE '@%' OR href LIKE '~%' THEN 'alias' ELSE 'external' END AS kind, count(*) AS n FROM ({_HREFS}) GROUP BY 1")
+_SOURCES = "SELECT [\'./\', \'../\', \'@\', \'~/\', \'\', \'.\'][CAST(c_custkey % 6 AS INT) + 1] || c_mktsegment AS source FROM customer"
+
+
+@register(f"SELECT CASE WHEN source LIKE './%' OR source LIKE '../%' THEN 'relative' WHEN source LIKE '@%' OR source LIKE '~%' THEN 'alias' ELSE 'external' END AS kind, count(*) AS n FROM ({_SOURCES}) GROUP BY 1")
 def classify_links(spark: SparkSession, d: str) -> DataFrame:
-    return _hrefs(spark, d).groupBy(S.import_kind("href").alias("kind")).agg(F.count("*").alias("n"))
+    lead = F.element_at(F.array(*map(F.lit, ("./", "../", "@", "~/", "", "."))), (F.col("c_custkey") % 6 + 1).cast("int"))
+    return table(spark, d, "customer").groupBy(S.import_kind(F.concat(lead, "c_mktsegment")).alias("kind")).agg(F.count("*").alias("n"))
 
 
 @register(
@@ -208,10 +212,10 @@ def route_fold(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _talk(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "conversations").select(F.col("conv_id").alias("file"), F.col("role").alias("caller"), F.col("turn").alias("line"), F.substring("text", 1, 20).alias("callee"), F.lit("call").alias("kind"))
+    return table(spark, d, "conversations").select(F.col("conv_id").alias("file"), F.col("role").alias("caller"), F.col("turn").alias("line"), F.col("text").alias("callee"), F.lit("call").alias("kind"))
 
 
-@register("SELECT conv_id AS file, role AS caller, turn AS line, text[1:20] AS callee FROM conversations")
+@register("SELECT conv_id AS file, role AS caller, turn AS line, text AS callee FROM conversations")
 def call_graph_nested(spark: SparkSession, d: str) -> DataFrame:
     return graph.flat_calls(graph.nested_calls(_talk(spark, d))).select("file", "caller", "line", "callee")
 
@@ -237,11 +241,13 @@ def repo_summary(spark: SparkSession, d: str) -> DataFrame:
 
 @register("SELECT e.event_id, s.event_id AS signup_id FROM events e JOIN events s ON s.user_id = e.user_id AND s.event_type = 'signup' AND s.ts <= e.ts WHERE e.event_type = 'error' QUALIFY row_number() OVER (PARTITION BY e.event_id ORDER BY s.ts DESC, s.event_id DESC) = 1")
 def asof_caller(spark: SparkSession, d: str) -> DataFrame:
-    # one sort by (user, time) instead of a join: the last signup so far is carried forward
-    rows = table(spark, d, "events").where("event_type in ('error', 'signup')").select("event_id", "user_id", "ts", "event_type")
-    signup = F.when(F.col("event_type") == "signup", F.col("event_id"))
-    w = Window.partitionBy("user_id").orderBy("ts", F.col("event_type") == "error", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("signup_id", F.last(signup, ignorenulls=True).over(w)).where("event_type = 'error' and signup_id is not null").select("event_id", "signup_id")
+    # a place is time and number in one; an error comes after all signups of its time
+    place = lambda last: (F.unix_micros("ts").cast("decimal(38,0)") * 1_000_000_000 + last).cast("decimal(38,0)")
+    rows = table(spark, d, "events").select("event_id", "user_id", "event_type", F.to_timestamp("ts").alias("ts"))
+    functions = rows.where("event_type = 'signup'").select(F.col("user_id").cast("string").alias("file"), F.lit("f").alias("name"), place(F.col("event_id")).alias("line"))
+    calls = rows.where("event_type = 'error'").select(F.col("user_id").cast("string").alias("file"), F.lit("f").alias("caller"), place(F.lit(999_999_999)).alias("line"), "event_id")
+    found = graph.resolve_caller(calls, functions)
+    return found.select("event_id", (F.substring_index("caller_id", "::", -1).cast("decimal(38,0)") % 1_000_000_000).cast("long").alias("signup_id"))
 
 
 @register(
@@ -307,11 +313,11 @@ def hooks_per_component(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").groupBy("user_id").agg(F.array_join(F.array_sort(F.collect_set("event_type")), ",").alias("hooks"))
 
 
-_ERRORS = "SELECT DISTINCT user_id AS src, CAST(json_extract(props, '$.k') AS BIGINT) AS dst FROM events WHERE event_type = 'error' AND user_id < 100"
+_ERRORS = "SELECT DISTINCT user_id AS src, CAST(json_extract(props, '$.k') AS BIGINT) AS dst FROM events WHERE event_type = 'error'"
 
 
 def _errors(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "events").where("event_type = 'error' and user_id < 100").select(F.col("user_id").alias("src"), F.get_json_object("props", "$.k").cast("long").alias("dst")).distinct()
+    return table(spark, d, "events").where("event_type = 'error'").select(F.col("user_id").alias("src"), F.get_json_object("props", "$.k").cast("long").alias("dst")).distinct()
 
 
 @register(
@@ -324,20 +330,25 @@ def khop(spark: SparkSession, d: str) -> DataFrame:
     return found.select(F.array_join(F.col("nodes").cast("array<string>"), ">").alias("path"), "length")
 
 
+# edges by number; in a path no number comes twice
+_STEP = "SELECT p.*, e.dst AS n{0}, e.i AS i{0} FROM p{1} p JOIN e ON e.src = p.n{1} WHERE e.i NOT IN ({2})"
+_CYCLES = "".join(f", p{k} AS ({_STEP.format(k, k - 1, ', '.join(f'p.i{j}' for j in range(1, k)))})" for k in range(2, 6))
+
+
 @register(
-    f"""WITH e AS ({_ERRORS}), p2 AS (SELECT x.src AS a, x.dst AS b, y.dst AS c FROM e x JOIN e y ON y.src = x.dst WHERE NOT (y.src = x.src AND y.dst = x.dst)),
- p3 AS (SELECT a, b, c, dst AS x FROM p2 JOIN e ON src = c WHERE NOT (src = a AND dst = b) AND NOT (src = b AND dst = c))
-SELECT a || '>' || b || '>' || c AS cycle, 2 AS length FROM p2 WHERE c = a UNION ALL SELECT a || '>' || b || '>' || c || '>' || x, 3 FROM p3 WHERE x = a"""
+    f"""WITH d AS ({_ERRORS}), e AS (SELECT src, dst, row_number() OVER () AS i FROM d WHERE dst IN (SELECT src FROM d) AND src IN (SELECT dst FROM d)), p1 AS (SELECT src AS n0, dst AS n1, i AS i1 FROM e){_CYCLES}
+"""
+    + " UNION ALL ".join("SELECT " + " || '>' || ".join(f"n{j}" for j in range(k + 1)) + f" AS cycle, {k} AS length FROM p{k} WHERE n{k} = n0" for k in range(2, 6))
 )
 def cycles(spark: SparkSession, d: str) -> DataFrame:
-    found = graph.paths(_errors(spark, d), F.lit(True), 3, closed=True).where("length >= 2")
+    found = graph.cycles(_errors(spark, d), 2, 5)
     return found.select(F.array_join(F.col("nodes").cast("array<string>"), ">").alias("cycle"), "length")
 
 
-@register("SELECT c_custkey AS key FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@register("SELECT p_partkey AS key FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45) AND p_partkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_quantity > 45)")
 def orphans(spark: SparkSession, d: str) -> DataFrame:
-    links = table(spark, d, "orders").select(F.col("o_custkey").alias("src"), F.lit(None).cast("long").alias("dst"))
-    return graph.orphans(table(spark, d, "customer").select(F.col("c_custkey").alias("key")), links)
+    links = table(spark, d, "lineitem").where("l_quantity > 45").select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst"))
+    return graph.orphans(table(spark, d, "part").select(F.col("p_partkey").alias("key")), links)
 
 
 @register("SELECT s_suppkey, count(DISTINCT o_custkey) AS customers FROM supplier JOIN lineitem ON l_suppkey = s_suppkey JOIN orders ON o_orderkey = l_orderkey GROUP BY 1 HAVING count(DISTINCT o_custkey) > 10")

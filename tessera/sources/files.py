@@ -3,18 +3,27 @@
 from __future__ import annotations
 
 import subprocess
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 #: Directories that are never part of a source tree (fixed values).
 EXCLUDED = ("node_modules", ".next", "dist", "build", "out", ".git", ".repo_intelligence")
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 def scan(spark: SparkSession, root: str, pattern: str = "*", excluded: tuple[str, ...] = EXCLUDED) -> DataFrame:
     """(path below root, content, bytes, modified) of all files; text that is not UTF-8 gives null content."""
+    if not exists(spark, root):
+        raise FileNotFoundError(root)
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
     base = root.rstrip("/").removeprefix("file://").removeprefix("file:")
     path = F.regexp_replace(F.col("path"), "^(?:file:)?/*", "/")
@@ -28,6 +37,11 @@ def typescript(files: DataFrame) -> DataFrame:
     return files.where(F.lower("path").rlike(r"\.tsx?$"))
 
 
+def newest(files: DataFrame) -> DataFrame:
+    """One row: when the newest of the files was modified."""
+    return files.agg(F.max("modified").alias("newest"))
+
+
 def packages(files: DataFrame) -> DataFrame:
     """(file, package, version, section) of every dependency in package.json files."""
     sections = ("dependencies", "devDependencies", "peerDependencies")
@@ -73,10 +87,19 @@ def git_changes(spark: SparkSession, repo: str, base_ref: str = "HEAD~1") -> Dat
     return found if not found.isEmpty() else name_status_changes(lines("diff", "--name-status", base_ref))
 
 
-def read_json(spark: SparkSession, path: str, schema) -> DataFrame:
-    """A JSON artifact (array or object); rows that do not parse are left out."""
-    rows = spark.read.schema(schema).option("multiLine", "true").option("mode", "DROPMALFORMED").json(path)
-    return rows
+def read_json(spark: SparkSession, path: str, schema, wrap: bool = False) -> DataFrame:
+    """The rows of a JSON artifact, a list of objects; none if it is missing, malformed or no list.
+    With ``wrap`` a single object counts as a list of one."""
+    empty = spark.createDataFrame([], schema)
+    if not exists(spark, path):
+        return empty
+    kind = empty.schema
+    text = spark.read.option("wholetext", "true").text(path).select(F.trim("value").alias("value"))
+    many = F.from_json("value", T.ArrayType(kind), {"mode": "PERMISSIVE"})
+    one = F.array(F.from_json("value", kind)) if wrap else F.array().cast(T.ArrayType(kind))
+    rows = F.when(F.col("value").startswith("["), many).when(F.col("value").startswith("{"), one)
+    valid = F.try_parse_json("value").isNotNull()
+    return text.where(valid).select(F.explode(rows).alias("r")).where("r is not null").select("r.*")
 
 
 class TableStore:
@@ -99,9 +122,28 @@ class TableStore:
         for old in self._versions(name)[:-keep]:
             self._fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(old), True)
 
-    def read(self, name: str) -> DataFrame | None:
+    def read(self, name: str, default: DataFrame | None = None) -> DataFrame | None:
+        """The newest version; ``default`` if there is none or it has not the default's columns."""
         found = self._versions(name)
-        return self.spark.read.parquet(found[-1]) if found else None
+        if not found:
+            return default
+        rows = self.spark.read.parquet(found[-1])
+        return rows if default is None or set(default.columns) <= set(rows.columns) else default
+
+    def modified(self, name: str) -> float | None:
+        """When the newest version was complete, in seconds."""
+        found = self._versions(name)
+        path = self.spark._jvm.org.apache.hadoop.fs.Path
+        return self._fs.getFileStatus(path(f"{found[-1]}/_SUCCESS")).getModificationTime() / 1000 if found else None
+
+    def validate(self, names: list[str], most_seconds: float = 259_200, now: float | None = None) -> None:
+        """ValueError if a table is missing, or if the newest of them is older than ``most_seconds`` (0: any age)."""
+        times = {n: self.modified(n) for n in names}
+        if missing := [n for n, t in times.items() if t is None]:
+            raise ValueError("missing tables: " + ", ".join(missing))
+        age = (time.time() if now is None else now) - max(times.values())
+        if most_seconds and age > most_seconds:
+            raise ValueError(f"tables are {age:.0f} seconds old, more than {most_seconds:.0f}")
 
     def drop(self, name: str) -> None:
         self._fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}"), True)
@@ -110,5 +152,3 @@ class TableStore:
 def export_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
-
-__all__ = ["EXCLUDED", "TableStore", "export_json", "first_existing", "git_changes", "name_status_changes", "packages", "read_json", "scan", "status_changes", "typescript"]
