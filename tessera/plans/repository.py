@@ -547,11 +547,11 @@ def merge_by_folder(spark: SparkSession, d: str) -> DataFrame:
     return sync.merge(rows.withColumn("state", F.lit("old")), rows.withColumn("state", F.lit("new")), changed, "path", by_prefix=True)
 
 
-@register("SELECT o_orderkey AS id, CASE WHEN o_orderstatus = 'F' THEN 'new' ELSE 'old' END AS state FROM orders UNION ALL SELECT -c_custkey, 'new' FROM customer")
+@register("SELECT o_orderkey AS id, CASE WHEN o_orderstatus = 'F' THEN 'new' ELSE 'old' END AS state FROM orders UNION ALL SELECT -1 - c_custkey, 'new' FROM customer")
 def upsert_by_key(spark: SparkSession, d: str) -> DataFrame:
     o = table(spark, d, "orders")
     old = o.select(F.col("o_orderkey").alias("id"), F.lit("old").alias("state"))
-    new = o.where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("id")).union(table(spark, d, "customer").select(-F.col("c_custkey"))).withColumn("state", F.lit("new"))
+    new = o.where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("id")).union(table(spark, d, "customer").select(-1 - F.col("c_custkey"))).withColumn("state", F.lit("new"))
     return sync.upsert(old, new, ["id"])
 
 
