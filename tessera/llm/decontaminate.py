@@ -8,6 +8,10 @@ words, but not none, is one pattern). Patterns of one length m form a matcher:
 * where the shift is nought, *suffix-hash buckets* select the patterns that end in this block;
 * *direct comparison* confirms, first on all word hashes, then on the words' bytes.
 
+The items' words lie in arrays once; a pattern is a place in them (about 150 bytes a word in all). Items go to the
+executors in groups of at most ``GROUP_BYTES`` of text, or one larger item, with one pass over the documents for each;
+between passes the documents and what was found are written, so that one group is in memory at a time.
+
 Texts are scanned by many cursors at once (numpy), each over a stretch of one document.
 
 Defined results: a null or empty text has no words and no hits; an item without id or words takes no
@@ -26,37 +30,53 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import kernels as K
-from .common import LOWER, UPPER, table
+from .common import LOWER, UPPER, Scratch, table
 
 #: Cursors work on stretches of so many window starts.
 STRETCH = 256
-#: Item text that one matcher may hold; more items are searched in further passes.
-GROUP_BYTES = 32 << 20
+#: Item text that is searched in one pass.
+GROUP_BYTES = 8 << 20
 COLUMNS = ("n_words", "n_hit", "n_items", "items", "hit_spans", "contaminated")
 
 
+class Items:
+    """The words of all items, one after the other."""
+
+    def __init__(self, items: list[tuple[str, str]]):
+        parts, self.names = [], [i for i, _ in items]
+        batch = pa.RecordBatch.from_arrays([pa.array([t for _, t in items], pa.large_string())], ["text"])
+        bytes_, docs = 0, 0
+        for x in K.slices(batch, "text"):
+            w = K.words(x.column("text"), K.ALNUM, lower=True)
+            parts.append((w.data, w.start + bytes_, w.end + bytes_, w.hash, w.doc + docs))
+            bytes_, docs = bytes_ + len(w.data), docs + x.num_rows
+        empty = [(np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64))]
+        self.data, self.start, self.end, self.hash, doc = (np.concatenate(x) for x in zip(*(parts or empty), strict=True))
+        self.doc = doc.astype(np.int32)
+
+    def text(self, i: int, j: int) -> list[bytes]:
+        return [self.data[a:b].tobytes() for a, b in zip(self.start[i:j], self.end[i:j], strict=True)]
+
+
 class Matcher:
-    """Patterns of one length."""
-
-    def __init__(self, m: int, patterns: dict[tuple[bytes, ...], set[str]]):
-        self.m, self.block = m, min(2, m)
-        keys = list(patterns)
-        flat = K.words(pa.array([b" ".join(k) for k in keys], pa.binary()).cast(pa.string()), K.ALNUM).hash
-        grams = flat.reshape(len(keys), m)
-        suffix = self._block(grams, m - self.block)
-        order = np.argsort(suffix, kind="stable")
-        self.patterns, self.suffix = grams[order], suffix[order]
-        self.texts = [list(keys[i]) for i in order]
-        self.items = [sorted(patterns[keys[i]]) for i in order]
-        bits = max(10, int(np.ceil(np.log2(max(1, len(keys) * m)))) + 3)
+    """Patterns of one length: runs of m words that begin at the words ``starts`` of the items."""
+
+    def __init__(self, m: int, items: Items, starts: np.ndarray):
+        self.m, self.block, self.words = m, min(2, m), items
+        h = items.hash
+        gram = K.gram_hashes(h, m)[starts]
+        suffix = self._pair(h[starts + m - self.block], h[starts + m - 1])
+        order = np.lexsort((items.doc[starts], gram, suffix))
+        starts, gram, suffix = starts[order], gram[order], suffix[order]
+        first = np.flatnonzero(np.append(True, (suffix[1:] != suffix[:-1]) | (gram[1:] != gram[:-1])))
+        self.suffix, self.at = suffix[first], starts[first]
+        self.owners, self.bounds = items.doc[starts], np.append(first, len(starts))
+        bits = max(10, int(np.ceil(np.log2(max(1, len(first) * m)))) + 1)
         self.mask = K.U64((1 << min(bits, 26)) - 1)
         self.shift = np.full(int(self.mask) + 1, m - self.block + 1, np.uint16)
         for j in range(m - self.block + 1):
-            np.minimum.at(self.shift, (self._block(grams, j) & self.mask).astype(np.int64), m - self.block - j)
-
-    def _block(self, h: np.ndarray, j: int) -> np.ndarray:
-        """Hash of the block that starts in column j."""
-        return self._pair(h[:, j], h[:, j + self.block - 1])
+            block = self._pair(h[self.at + j], h[self.at + j + self.block - 1])
+            np.minimum.at(self.shift, (block & self.mask).astype(np.int64), m - self.block - j)
 
     @staticmethod
     def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -83,7 +103,7 @@ class Matcher:
                 low, high = np.searchsorted(self.suffix, b, "left"), np.searchsorted(self.suffix, b, "right")
                 while len(at := at[keep := low < high]):
                     low, high = low[keep], high[keep]
-                    same = (h[at[:, None] + np.arange(m)] == self.patterns[low]).all(1)
+                    same = (h[at[:, None] + np.arange(m)] == self.words.hash[self.at[low][:, None] + np.arange(m)]).all(1)
                     found_at.append(at[same])
                     found.append(low[same])
                     at, low, high = at[~same], low[~same] + 1, high[~same]
@@ -94,19 +114,19 @@ class Matcher:
         if not found:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         at, which = np.concatenate(found_at), np.concatenate(found)
-        sure = np.fromiter((w.text(i, i + m) == self.texts[p] for i, p in zip(at.tolist(), which.tolist(), strict=True)), bool, len(at))
+        sure = np.fromiter((w.text(i, i + m) == self.words.text(p, p + m) for i, p in zip(at.tolist(), self.at[which].tolist(), strict=True)), bool, len(at))
         return at[sure], which[sure]
 
+    def items(self, pattern: int) -> list[str]:
+        return [self.words.names[i] for i in set(self.owners[self.bounds[pattern] : self.bounds[pattern + 1]].tolist())]
+
 
 def matchers(items: list[tuple[str, str]], window: int) -> list[Matcher]:
-    by_length: dict[int, dict[tuple[bytes, ...], set[str]]] = {}
-    w = K.words(pa.array([t for _, t in items], pa.string()), K.ALNUM, lower=True)
-    for d, (item, _) in enumerate(items):
-        seq = w.text(w.bounds[d], w.bounds[d + 1])
-        m = min(window, len(seq))
-        for i in range(len(seq) - m + 1 if m else 0):
-            by_length.setdefault(m, {}).setdefault(tuple(seq[i : i + m]), set()).add(item)
-    return [Matcher(m, p) for m, p in sorted(by_length.items())]
+    words = Items(items)
+    size = np.bincount(words.doc, minlength=len(items))
+    left = (np.cumsum(size)[words.doc] - np.arange(len(words.doc))) if len(words.doc) else np.zeros(0, np.int64)  # words from here to the item's end
+    length = np.minimum(size[words.doc], window)
+    return [Matcher(m, words, np.flatnonzero((length == m) & (left >= m))) for m in np.unique(length).tolist()]
 
 
 def _search(found: list[Matcher], text_col: str, out: pa.Schema):
@@ -130,7 +150,7 @@ def _search(found: list[Matcher], text_col: str, out: pa.Schema):
                     np.add.at(hit, at, 1)
                     np.add.at(hit, at + x.m, -1)
                     for d, p in set(zip(w.doc[at].tolist(), which.tolist(), strict=True)):
-                        items[d].update(x.items[p])
+                        items[d].update(x.items(p))
                 inside = np.cumsum(hit[:-1]) > 0
                 edge = np.flatnonzero(np.diff(np.concatenate([[False], inside, [False]]).astype(np.int8)))
                 spans: list[list[dict]] = [[] for _ in range(n)]
@@ -154,14 +174,11 @@ _STATE = T.StructType(
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10) -> DataFrame:
     """Every row of ``docs`` with n_words, n_hit (words inside an occurrence), n_items and items (whose
-    windows occur), hit_spans (word ranges, end exclusive) and contaminated (n_hit > 0).
-
-    The item table goes to the executors in groups of at most ``GROUP_BYTES`` of text, measured first,
-    one pass over the documents for each, so its size is free.
-    """
+    windows occur), hit_spans (word ranges, end exclusive) and contaminated (n_hit > 0)."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
     spark = docs.sparkSession
+    scratch = Scratch(spark, "decontaminate")
     docs = docs.drop(*COLUMNS, *_STATE.names)
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("text")).where("item is not null and text is not null")
     groups = 1 + (items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]) // GROUP_BYTES
@@ -169,7 +186,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
         part = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(groups)) == g)
         tables = spark.sparkContext.broadcast(matchers([(r.item, r.text) for r in part.toLocalIterator()], window))
         schema = T.StructType([f for f in docs.schema if f.name not in _STATE.names] + list(_STATE))
-        docs = docs.mapInArrow(_later(tables, text_col, to_arrow_schema(schema)), schema)
+        found = docs.mapInArrow(_later(tables, text_col, to_arrow_schema(schema)), schema)
+        if g + 1 == groups:
+            docs = found
+            break
+        before, docs = docs, scratch.save(found, "pass")
+        tables.unpersist()
+        if g:
+            scratch.drop(before)
     n_hit = F.aggregate("_spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
     return docs.select(
         *[f.name for f in docs.schema if f.name not in _STATE.names], F.col("_n_words").alias("n_words"), n_hit.alias("n_hit"), F.size("_items").cast("long").alias("n_items"), F.col("_items").alias("items"), F.col("_spans").alias("hit_spans"), (F.size("_spans") > 0).alias("contaminated")
