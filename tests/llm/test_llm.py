@@ -517,3 +517,67 @@ def test_encoder_forgets_what_is_rare(monkeypatch):
         ids, lengths = enc.encode(pa.array(texts), 2)
         want = [[*tok.encode(t or "", add_special_tokens=False).ids, 2] for t in texts]
         assert ids.tolist() == [x for w in want for x in w] and lengths.tolist() == [len(w) for w in want]
+
+
+def pages_of(spark, host, bodies):
+    rows = [(i, f"https://{host}/{i}", f"<html><head><title>T</title></head><body>{b}</body></html>") for i, b in enumerate(bodies)]
+    found = html_wrappers.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash")).withColumn("paths", F.lit("clash")))
+    return {r.page_id: r.text for r in found.collect()}
+
+
+def words(rng, n):
+    return " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+
+
+def test_html_of_a_host_without_marks(spark):
+    # no article, no class: what all pages share is the host's, what differs is the page's
+    rng = random.Random(1)
+    mine = [[words(rng, 20) for _ in range(rng.randint(2, 4))] for _ in range(6)]
+    page = "<div>Cookie text that every page has</div><div><div>All about us and nothing else</div><h2>Summary</h2>{}<div>Send us a letter</div></div><div><a href=/a>one</a><a href=/b>two</a></div>"
+    got = pages_of(spark, "plain.x", [page.format("".join(f"<p>{x}</p>" for x in m)) for m in mine])
+    assert got == {i: "\n".join(["Summary", *m]) for i, m in enumerate(mine)}
+
+
+def test_html_class_words_do_not_hide_content(spark):
+    rng = random.Random(2)
+    a, b, c = ([words(rng, 30) for _ in range(5)] for _ in range(3))
+    got = pages_of(spark, "side.x", [f"<div class='side-story'><p>{x}</p></div>" for x in a])
+    assert got == dict(enumerate(a))
+    page = "<header><a href=/>home</a></header><article><header><h1>{0}</h1></header><p>{1}</p><div class='related-work'><p>{2}</p></div><div class=related><a href=/1>{0}</a> <a href=/2>more</a></div><aside>ad</aside></article>"
+    got = pages_of(spark, "art.x", [page.format(f"Title {i}", x, y) for i, (x, y) in enumerate(zip(b, c, strict=True))])
+    assert got == {i: f"Title {i}\n{x}\n{y}" for i, (x, y) in enumerate(zip(b, c, strict=True))}
+
+
+def test_html_copies_keep_their_text(spark):
+    assert pages_of(spark, "copy.x", ["<div><p>one and the same</p><p>on all pages</p></div>"] * 8) == dict.fromkeys(range(8), "one and the same\non all pages")
+
+
+def test_html_odd_pages_in_linear_time():
+    import time
+
+    for odd, want in (("<div>" * 50_000 + "x" + "</div>" * 50_000, "x"), ("y<a " * 1_000_000, None), ('<a ">"' * 100_000 + '"', None), ("<p>x" * 50_000, "x\n" * 49_999 + "x"), ("<x>" * 50_000 + "<li>" * 50_000, ""), ("<h2>a</h2><p>b</p>" * 10_000, "a\nb\n" * 9_999 + "a\nb"), ("</x>" * 100_000 + "z", "z"), ("v<!-- " * 100_000, "v")):
+        began = time.process_time()
+        out = html_wrappers.extract(odd, html_wrappers.rules(html_wrappers.fold(html_wrappers.parse(odd))))
+        assert time.process_time() - began < 20 and (want is None or out == want), odd[:20]
+
+
+def test_html_precision_and_recall_of_blocks(spark):
+    rng = random.Random(3)
+    layouts = [
+        "<nav><a href=/>a</a></nav><article><h1>{t}</h1>{m}<div class='share-bar'>tweet</div></article><div id=comments><p>{x}</p></div><footer>f</footer>",
+        "<div class='top menu'><a href=/>a</a></div><main><section>{m}</section><aside>{x}</aside></main><div class='cookie-consent'>ok</div>",
+        "<table><tr><td><a href=/>a</a> <a href=/b>b</a></td><td><h1>{t}</h1>{m}</td></tr></table><p>Copyright of the host</p>",
+        "<div id=page><div class=content><h2>{t}</h2>{m}</div><div class=sidebar><ul><li>{x}</li></ul></div></div>",
+    ]
+    hit = said = there = 0
+    for k, layout in enumerate(layouts):
+        truth, bodies = [], []
+        for i in range(12):
+            main = [words(rng, rng.randint(8, 25)) for _ in range(rng.randint(2, 6))]
+            title = f"Title {words(rng, 3)}"
+            bodies.append(layout.format(t=title, m="".join(f"<p>{x}</p>" for x in main), x=words(rng, 5)))
+            truth.append(({title} if "{t}" in layout else set()) | set(main))
+        for i, text in pages_of(spark, f"l{k}.x", bodies).items():
+            got = set(text.split("\n"))
+            hit, said, there = hit + len(got & truth[i]), said + len(got), there + len(truth[i])
+    assert hit / said > 0.97 and hit / there > 0.97, (hit / said, hit / there)
