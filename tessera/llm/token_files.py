@@ -2,7 +2,8 @@
 
 A data set is a folder with, for each partition, ``<name>.bin`` (token ids, unsigned integers of 2 or
 4 bytes, little-endian, whichever the vocabulary needs) and ``<name>.idx`` (64-bit unsigned offsets in
-tokens from the partition's begin, one more than documents; then the 64-bit document ids), and
+tokens from the partition's begin, one more than documents; the 64-bit document ids; a bit for each id that is null,
+padded to 64 bits), and
 ``manifest.json``, which lists the partitions in order with their documents and tokens. A partition's
 *base*, the tokens before it, is the prefix sum of the manifest's counts, so that global token
 positions need no pass over the data. Readers map the files into memory.
@@ -37,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import partitions, shared_dir, small_batches, table
+from .common import Scratch, partitions, small_batches, table
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
@@ -45,8 +46,6 @@ END_ID = 2
 REMEMBER = 1_000_000
 #: Words encoded in one string.
 TOGETHER = 2048
-#: Stands for a null id in the files.
-NO_ID = -(1 << 63)
 _WORD = ~K.byte_class(b" \n")
 _SPACED = np.uint64(0x9E3779B97F4A7C15)
 
@@ -227,7 +226,7 @@ def _writer(tokenizer: str, out: str, end_id: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, name = encoder(tokenizer), f"part-{uuid.uuid4().hex}"
         store, root = _open(out)
-        ids_of, counts, sink = [], [], None
+        ids_of, null, counts, sink = [], [], [], None
         for whole in batches:
             for batch in K.slices(whole, "text"):
                 if sink is None:
@@ -235,13 +234,15 @@ def _writer(tokenizer: str, out: str, end_id: int, width: int):
                 ids, lengths = enc.encode(batch.column("text"), end_id)
                 sink.write(ids.astype("<u4" if width == 4 else "<u2").tobytes())
                 counts.append(lengths)
-                ids_of.append(np.asarray(batch.column("id").fill_null(NO_ID)).astype("<i8"))
+                ids_of.append(batch.column("id").fill_null(0).to_numpy(zero_copy_only=False).astype("<i8"))
+                null.append(batch.column("id").is_null().to_numpy(zero_copy_only=False))
         if sink is None:
             return
         sink.close()
         offsets = np.concatenate([[0], np.cumsum(np.concatenate(counts))]).astype("<u8")
         with store.open_output_stream(f"{root}/{name}.idx") as f:
-            f.write(offsets.tobytes() + np.concatenate(ids_of).tobytes())
+            bits = np.packbits(np.concatenate(null)).tobytes()
+            f.write(offsets.tobytes() + np.concatenate(ids_of).tobytes() + bits + bytes(-len(bits) % 8))
         total = int(offsets[-1])
         yield pa.RecordBatch.from_pydict({"name": [name], "docs": [len(offsets) - 1], "tokens": [total]}, schema=pa.schema([("name", pa.string()), ("docs", pa.int64()), ("tokens", pa.int64())]))
 
@@ -270,8 +271,8 @@ def write_tokens(docs: DataFrame, out: str, tokenizer: str, id_col: str = "doc_i
     return manifest
 
 
-def open_part(out: str, manifest: dict, part: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(token ids, offsets, document ids) of one partition; mapped where the store is a local or mounted one."""
+def open_part(out: str, manifest: dict, part: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(token ids, offsets, document ids, which of them are null) of one partition; mapped where the store is a local or mounted one."""
     store, root = _open(out)
 
     def load(suffix: str, kind: str) -> np.ndarray:
@@ -283,7 +284,8 @@ def open_part(out: str, manifest: dict, part: dict) -> tuple[np.ndarray, np.ndar
 
     index = load("idx", "<u8")
     n = part["docs"]
-    return load("bin", f"<u{manifest['width']}"), index[: n + 1], index[n + 1 :].view("<i8")
+    null = np.unpackbits(np.asarray(index[2 * n + 1 :]).view(np.uint8), count=n).astype(bool)
+    return load("bin", f"<u{manifest['width']}"), index[: n + 1], index[n + 1 : 2 * n + 1].view("<i8"), null
 
 
 def read_manifest(out: str) -> dict:
@@ -296,11 +298,11 @@ def _reader(out: str, manifest: dict):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, docs, base in zip(*(batch.column(c).to_pylist() for c in ("name", "docs", "base")), strict=True):
-                tokens, offsets, ids = open_part(out, manifest, {"name": name, "docs": docs})
+                tokens, offsets, ids, null = open_part(out, manifest, {"name": name, "docs": docs})
                 for a in range(0, docs, 4096):
                     cut = offsets[a : a + 4097].astype(np.int64)
                     crc = [zlib.crc32(tokens[x:y].astype("<u4").tobytes()) for x, y in zip(cut[:-1], cut[1:], strict=True)]
-                    key = pa.array(ids[a : a + 4096], mask=np.asarray(ids[a : a + 4096]) == NO_ID) if (ids[a : a + 4096] == NO_ID).any() else pa.array(np.asarray(ids[a : a + 4096]))
+                    key = pa.array(np.asarray(ids[a : a + 4096]), mask=null[a : a + 4096])
                     yield pa.RecordBatch.from_pydict({"doc_id": key, "start": pa.array(cut[:-1] + base), "n_tokens": pa.array(np.diff(cut)), "ids_crc32": pa.array(crc, pa.int64())})
 
     return run
@@ -318,7 +320,7 @@ def tokenize_documents(docs: DataFrame, tokenizer: str | None = None) -> DataFra
     import public_tokenizers
 
     spark = docs.sparkSession
-    out = f"{shared_dir(spark)}/tessera/tokens-{uuid.uuid4().hex[:12]}"
+    out = Scratch(spark, "tokens").path  # goes when the session ends
     write_tokens(docs, out, tokenizer or public_tokenizers.path(TOKENIZER))
     return read_documents(spark, out)
 
