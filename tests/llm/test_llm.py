@@ -181,7 +181,7 @@ def test_token_files(spark, docs, nothing, tmp_path):
         assert (got[i].start, got[i].n_tokens, got[i].ids_crc32) == (start, len(ids), zlib.crc32(ids.tobytes())), i
         start += len(ids)
     assert manifest["tokens"] == start and len(got) == len(rows) + len(odd)
-    tokens, offsets, ids = token_files.open_part(out, manifest, manifest["parts"][0])
+    tokens, offsets, ids, null = token_files.open_part(out, manifest, manifest["parts"][0])
     assert isinstance(tokens, np.memmap) and tokens.dtype == np.uint16 and offsets[-1] == len(tokens) and len(ids) == manifest["parts"][0]["docs"]
     assert token_files.tokenize_documents(nothing).count() == 0
 
@@ -581,3 +581,83 @@ def test_html_precision_and_recall_of_blocks(spark):
             got = set(text.split("\n"))
             hit, said, there = hit + len(got & truth[i]), said + len(got), there + len(truth[i])
     assert hit / said > 0.97 and hit / there > 0.97, (hit / said, hit / there)
+
+
+def test_neighbours_of_many_cells_and_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    v = rng.normal(size=(6000, 16)) + 1.5 * rng.normal(size=(12, 16))[rng.integers(0, 12, 6000)]
+    v[200:212] = v[200] * np.arange(1, 13)[:, None]  # multiples: other bytes, equal cosine
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    monkeypatch.setattr(neighbours, "CELL", 100)
+    index = neighbours.Neighbours(df)
+    assert index.rounds >= 2  # cells of 100 are only a begin
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+
+    def found(**options):
+        got = {}
+        for r in index.search(F.col("id") % 50 == 0, **options).collect():
+            got.setdefault(r.query_id, {})[r["rank"]] = (r.vec_id, r.score)
+        return got
+
+    one = found()
+    hit = 0
+    for q in range(0, 6000, 50):
+        s = u @ u[q]
+        s[q] = -9
+        hit += len(set(np.argsort(-s)[:5].tolist()) & {x for x, _ in one[q].values()}) if q != 200 else 5
+        assert all(abs(s[x] - score) < 1e-12 for x, score in one[q].values())
+    assert hit >= 0.95 * 120 * 5
+    assert {x for x, _ in one[200].values()} <= set(range(201, 212))
+    monkeypatch.setattr(neighbours, "BLOCK_BYTES", 16 * 4 * 30)  # 30 queries a block
+    assert found() == one
+    many = found(k=30)  # more than any list or sample holds
+    assert all(len(x) == 30 for x in many.values()) and all([x[i][0] for i in range(1, 6)] == [one[q][i][0] for i in range(1, 6)] or q == 200 for q, x in many.items())
+
+
+def test_jaccard_groups_do_not_hang_on_the_token_order(docs, monkeypatch):
+    _, df = docs
+    want = sorted(map(tuple, jaccard.jaccard_groups(df).collect()), key=str)
+    monkeypatch.setattr(jaccard, "FREQUENT", 1)
+    monkeypatch.setattr(jaccard, "TABLE", 3)
+    assert sorted(map(tuple, jaccard.jaccard_groups(df).collect()), key=str) == want
+
+
+def test_jaccard_null_and_repeated_ids(spark):
+    t = " ".join(f"w{i}" for i in range(40))
+    rows = [(7, t), (7, t), (3, t + " more"), (None, t), (None, None), (9, None), (5, "a b"), (4, "A  B"), (6, "")]
+    got = sorted((str(r.doc_id), r.component_id) for r in jaccard.jaccard_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == sorted([("7", 3), ("7", 3), ("3", 3), ("None", None), ("None", None), ("9", 9), ("5", 4), ("4", 4), ("6", 6)])
+
+
+def test_decontaminate_repeated_rows(spark):
+    item = " ".join(f"w{i}" for i in range(12))
+    rows = [(1, "x " + item + " y"), (1, "x " + item + " y"), (None, item), (2, None)]
+    got = decontaminate.decontaminate(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([("i", item), ("i", item), ("j", item)], "item_id string, text string"))
+    assert sorted((str(r.doc_id), r.n_hit, r["items"]) for r in got.collect()) == [("1", 12, ["i", "j"]), ("1", 12, ["i", "j"]), ("2", 0, []), ("None", 12, ["i", "j"])]
+
+
+def test_token_files_null_and_repeated_ids(spark, tmp_path):
+    import public_tokenizers
+
+    least = -(1 << 63)
+    rows = [(None, "z"), (2, "b b"), (2, "a"), (least, "a"), (1, None), (None, None)]
+    out = f"file://{tmp_path}/n"
+    token_files.write_tokens(spark.createDataFrame(rows, "doc_id long, text string"), out, public_tokenizers.path("byte_bpe_50k.json"), files=3)
+    got = sorted(token_files.read_documents(spark, out).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == [least, 1, 2, 2, None, None] and sorted(r.n_tokens for r in got if r.doc_id is None)[0] == 1
+    assert [r.start for r in got] == [sum(x.n_tokens for x in got[:i]) for i in range(6)]
+
+
+def test_language_ties_and_repeats(spark):
+    rows = [(i, t, x) for i, (t, x) in enumerate([("same words", "bb"), ("same words", "aa"), (None, "aa"), ("x", None)])]
+    model = language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    got = language.identify(spark.createDataFrame([(1, "same"), (1, "same"), (None, "same"), (2, "qqq")], "doc_id long, text string"), model)
+    assert {r.lang_pred for r in got.collect()} == {"aa"} and got.count() == 4  # ties go to the first by code point
+
+
+@pytest.mark.skipif(not __import__("os").path.isdir("/root/testdata/sf0.01"), reason="no test tables here")
+def test_held_out_languages(spark):
+    d = "/root/testdata/sf0.01"
+    found = language.op6_language_id(spark, d).join(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "lang", "text"), "doc_id")
+    right, n = found.where("held_out and lang is not null and lang_pred != 'und'").agg(F.count_if(F.col("lang") == F.col("lang_pred")), F.count("*")).first()
+    assert n > 250 and right / n > 0.98, (right, n)
