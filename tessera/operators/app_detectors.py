@@ -74,6 +74,7 @@ MODULE_DIRS, MODULE_LINES = ("src/server/modules", "server/modules"), 80
 MODULE_EXPORT = r"export\s+(?:default\s+)?(?:abstract\s+)?(?:class|function|const|async\s+function)\s+([A-Za-z_$][\w$]*)"
 
 #: Model providers: folders, what shows a capability, and the files and lines that are looked at (fixed values).
+#: Capabilities stand in order of their names, in which they are reported.
 RUNTIME_DIRS, RUNTIME_FILES, RUNTIME_LINES = ("src/libs/agent-runtime", "src/lib/agent-runtime", "libs/agent-runtime"), 8, 120
 CAPABILITIES = (
     ("embedding", r"(?i)\bembedding\b|\bEmbed\b"),

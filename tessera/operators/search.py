@@ -72,16 +72,20 @@ def context(blocks: DataFrame, order: list[Column], size: Column, most: int = 80
     return blocks.withColumn("running", running).where(F.col("running") <= most)
 
 
+#: What a context says when nothing was found, and of results that did not fit (fixed values).
+NOTHING, MORE = "No relevant code chunks found.", "... ({} more results truncated)"
+
+
 def context_text(hits: DataFrame, most: int = 8000) -> str:
     """The context as one string; hits are a top-k result, so they fit on the driver."""
     rows = hits.collect()
     if not rows:
-        return "No relevant code chunks found."
+        return NOTHING
     out, total = [f"# {len(rows)} relevant code chunks\n", "\n"], 0
     for i, r in enumerate(rows, 1):
         block = f"## [{i}] {r['file']}:{r['line']} {r['name']} ({r['chunk_type']}, {r['adjusted_score']:.3f})\n{r['text']}\n\n"
         if total + len(block) > most:
-            out.append(f"... ({len(rows) - i + 1} more results truncated)")
+            out.append(MORE.format(len(rows) - i + 1))
             break
         total += len(block)
         out.append(block)
