@@ -1,16 +1,17 @@
 """Approximate nearest neighbours: an NN-descent graph, searched greedily.
 
 *Graph.* Equal vectors form one node. Lists of ``degree`` neighbours begin with what is nearest inside
-cells of several random hyperplane partitions (cells of bounded size, a larger one is dealt out by hash) and are
-improved by descent rounds: every node brings a sample of its neighbours and of those that have it as
-neighbour together (joins of neighbours of neighbours), compares them with one another, and proposes the
+cells of a few random hyperplane partitions (cells of bounded size, a larger one is dealt out by hash) and are
+improved by descent rounds until few entries change: every node brings a sample of its neighbours and of those that
+have it as neighbour together (joins of neighbours of neighbours), compares them with one another, and proposes the
 nearest to each of them. In-lists are thinned by a hash against the in-degree, so no hub gathers
 more than others.
 
 *Search.* A query starts at its own node. In each hop its best ``beam`` nodes not yet opened are
 opened at once: their lists are joined in, nodes seen before drop out, the others are scored where
-their vectors lie, and the query keeps its best ``pool``. Query vectors travel to the executors in blocks of
-at most ``BLOCK_BYTES``. What is left is re-ranked by the exact cosine in double precision.
+their vectors lie, and the query keeps its best ``pool``. Hops go on until the nearest of few queries change.
+Query vectors travel to the executors in blocks of at most ``BLOCK_BYTES``. What is left within rounding of the
+k-th is re-ranked by the exact cosine in double precision.
 
 Defined results: vectors that are null, empty, zero, hold null or non-finite components, or whose length
 is not the most frequent one take no part, neither as query nor as candidate, nor do null ids; rows with
@@ -29,7 +30,12 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, partitions, table
 
-CELL = 1500
+#: Vectors of a cell, at most twice as many.
+CELL = 800
+#: Rounds and hops end when so small a share of list entries, or of queries, changes; and after so many.
+SETTLED, MOST_ROUNDS, MOST_HOPS = 0.05, 8, 12
+#: Cosines in single precision that differ by less may be equal.
+ROUNDING = 4e-6
 BLOCK_BYTES = 32 << 20
 GRAPH = "id long, near binary, sim binary"
 
@@ -150,20 +156,23 @@ def _batched(rows: Iterator[tuple], build: Callable[[list[tuple]], pa.RecordBatc
 
 
 def _best(degree: int):
-    """Merge the lists of a node."""
+    """Merge the lists of a node; ``fresh`` counts the entries that no old list of it has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
             for node, t in _by_key(batches, "id"):
-                near, sim = np.concatenate(_arrays(t.column("near"), np.int64)), np.concatenate(_arrays(t.column("sim"), np.float32))
+                lists, old = _arrays(t.column("near"), np.int64), t.column("old").to_pylist()
+                near, sim = np.concatenate(lists), np.concatenate(_arrays(t.column("sim"), np.float32))
                 near, first = np.unique(near, return_index=True)
                 sim = sim[first]
                 keep = near != node
                 near, sim = near[keep], sim[keep]
                 order = np.lexsort((near, -sim))[:degree]
-                yield int(node), near[order].tobytes(), sim[order].tobytes()
+                known = [x for x, o in zip(lists, old, strict=True) if o]
+                fresh = len(np.setdiff1d(near[order], np.concatenate(known))) if known else len(order)
+                yield int(node), near[order].tobytes(), sim[order].tobytes(), fresh
 
-        yield from _batched(rows(), lambda r: pa.RecordBatch.from_arrays([pa.array([x[0] for x in r], pa.int64()), pa.array([x[1] for x in r], pa.binary()), pa.array([x[2] for x in r], pa.binary())], ["id", "near", "sim"]))
+        yield from _batched(rows(), lambda r: pa.RecordBatch.from_arrays([pa.array([x[0] for x in r], pa.int64()), pa.array([x[1] for x in r], pa.binary()), pa.array([x[2] for x in r], pa.binary()), pa.array([x[3] for x in r], pa.int64())], ["id", "near", "sim", "fresh"]))
 
     return run
 
@@ -205,9 +214,9 @@ def _local_join(propose: int):
 class Neighbours:
     """A graph over the vectors of a table, for any number of searches."""
 
-    def __init__(self, vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", degree: int = 24, trees: int = 6, rounds: int = 2, sample: int = 12, ties: int = 16, seed: int = 5):
+    def __init__(self, vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", degree: int = 24, trees: int = 4, rounds: int = MOST_ROUNDS, sample: int = 12, seed: int = 5):
         spark = self.spark = vectors.sparkSession
-        self.degree = degree
+        self.degree, self.rounds, self.hops = degree, 0, 0
         scratch = self.scratch = Scratch(spark, "neighbours")
         rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v")).where("id is not null and v is not null and size(v) > 0")
         common = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
@@ -217,8 +226,6 @@ class Neighbours:
         classes = scratch.save(usable.groupBy(F.sha2("raw", 256).alias("hash")).agg(F.min("id").alias("class"), F.count("*").alias("n")), "classes")
         member = usable.select("id", F.sha2("raw", 256).alias("h")).join(classes, F.col("h") == F.col("hash")).select("id", "class")
         self.member = scratch.save(member, "member")
-        least = self.member.select("class", "id").mapInArrow(_least(ties), "class long, member long")
-        self.least = scratch.save(least.groupBy("class").agg(F.slice(F.array_sort(F.collect_list("member")), 1, ties).alias("members")), "least")
         self.raw = usable.select("id", "raw")
         reps = usable.join(classes.select("class"), F.col("id") == F.col("class"), "left_semi").select("id", "unit")
         self.nodes = scratch.save(reps, "nodes")
@@ -226,8 +233,9 @@ class Neighbours:
         self.lists = self._lists()
 
     def _merged(self, lists: DataFrame, name: str) -> DataFrame:
+        """The best of all lists of a node (id, near, sim, old)."""
         by_node = lists.repartition(partitions(self.spark), "id").sortWithinPartitions("id")
-        return self.scratch.save(by_node.mapInArrow(_best(self.degree), GRAPH), name)
+        return self.scratch.save(by_node.mapInArrow(_best(self.degree), f"{GRAPH}, fresh long"), name)
 
     def _begin(self, trees: int, seed: int) -> DataFrame:
         n, rng = self.nodes.count(), np.random.default_rng(seed)
@@ -240,7 +248,7 @@ class Neighbours:
         parts = F.ceil(F.col("n") / (2.0 * CELL))
         dealt = coded.join(counts, (F.col("tree") == F.col("t")) & (F.col("cell") == F.col("c"))).withColumn("part", F.pmod(F.xxhash64("id", "tree"), parts))
         lists = self.scratch.save(dealt.select("tree", "cell", "part", "id", "unit").groupBy("tree", "cell", "part").applyInArrow(_in_cell(self.degree), GRAPH), "lists")
-        out = self._merged(lists, "graph")
+        out = self._merged(lists.withColumn("old", F.lit(False)), "graph")
         self.scratch.drop(coded, counts, lists)
         return out
 
@@ -258,9 +266,14 @@ class Neighbours:
             with_vectors = both.join(self.nodes, F.col("b") == F.col("id")).select("a", "b", "unit")
             met = with_vectors.repartition(partitions(self.spark), "a").sortWithinPartitions("a")
             proposed = self.scratch.save(met.mapInArrow(_local_join(5), GRAPH), "proposed")
-            new = self._merged(graph.unionByName(proposed), "graph")
+            old = graph.select("id", "near", "sim", F.lit(True).alias("old"))
+            new = self._merged(old.unionByName(proposed.withColumn("old", F.lit(False))), "graph")
             self.scratch.drop(graph, both, proposed)
             graph = new
+            self.rounds += 1
+            changed = graph.agg(F.sum("fresh").alias("fresh"), F.sum(F.octet_length("near") / 8).alias("all")).first()
+            if not changed["all"] or changed["fresh"] <= SETTLED * changed["all"]:
+                break
         return graph
 
     def _lists(self) -> DataFrame:
@@ -269,17 +282,19 @@ class Neighbours:
         both = edges.unionByName(self._reversed(edges, self.degree)).distinct()
         return self.scratch.save(both.groupBy(F.col("a").alias("node")).agg(F.collect_list("b").alias("list")), "lists")
 
-    def search(self, queries: Column, k: int = 5, beam: int = 80, hops: int = 5, pool: int = 400) -> DataFrame:
+    def search(self, queries: Column, k: int = 5, beam: int = 160, hops: int = MOST_HOPS, pool: int = 600) -> DataFrame:
         """The k nearest of every vector whose id satisfies ``queries`` (a condition on ``id``): query_id, rank, vec_id, score."""
         asked = self.scratch.save(self.member.where(queries).select(F.col("id").alias("query_id"), "class"), "asked")
         starts = self.scratch.save(self.nodes.join(asked.select("class").distinct(), F.col("id") == F.col("class"), "left_semi"), "starts")
         blocks = 1 + starts.count() * self.dim * 4 // BLOCK_BYTES
         found = None
         for b in range(blocks):
-            some = self._search_block(starts.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b), beam, hops, pool)
+            some = self._search_block(starts.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b), k, beam, hops, max(pool, 4 * k))
             found = some if found is None else found.unionByName(some)
-        best = found.mapInArrow(_first(k + 3), "q long, c long").unionByName(starts.select(F.col("id").alias("q"), F.col("id").alias("c")))
-        pairs = asked.join(best, F.col("class") == F.col("q")).join(self.least, F.col("c") == self.least["class"]).select("query_id", F.explode("members").alias("vec_id")).where("query_id != vec_id")
+        least = self.member.select("class", "id").mapInArrow(_least(k + 1), "class long, member long")  # a query may be one of them itself
+        least = self.scratch.save(least.groupBy("class").agg(F.slice(F.array_sort(F.collect_list("member")), 1, k + 1).alias("members")), "least")
+        best = found.mapInArrow(_first(k), "q long, c long").unionByName(starts.select(F.col("id").alias("q"), F.col("id").alias("c")))
+        pairs = asked.join(best, F.col("class") == F.col("q")).join(least, F.col("c") == least["class"]).select("query_id", F.explode("members").alias("vec_id")).where("query_id != vec_id")
         pairs = self.scratch.save(pairs, "pairs")
         with_q = pairs.join(self.raw.select(F.col("id").alias("i"), F.col("raw").alias("x")), F.col("query_id") == F.col("i")).select("query_id", "vec_id", "x")
         with_c = with_q.join(self.raw.select(F.col("id").alias("j"), F.col("raw").alias("y")), F.col("vec_id") == F.col("j")).select("query_id", "vec_id", "x", "y")
@@ -288,7 +303,7 @@ class Neighbours:
         ranked = lists.select("query_id", F.posexplode("best").alias("pos", "b"))
         return ranked.select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("b.vec_id").alias("vec_id"), (-F.col("b.d")).alias("score"))
 
-    def _search_block(self, starts: DataFrame, beam: int, hops: int, pool: int) -> DataFrame:
+    def _search_block(self, starts: DataFrame, k: int, beam: int, hops: int, pool: int) -> DataFrame:
         rows = starts.collect()  # at most BLOCK_BYTES
         order = np.argsort(np.array([r.id for r in rows], np.int64)) if rows else np.zeros(0, np.int64)
         ids = np.array([rows[i].id for i in order], np.int64)
@@ -296,20 +311,25 @@ class Neighbours:
         asked = self.spark.sparkContext.broadcast((ids, unit))
         first = self.graph.join(starts.select(F.col("id").alias("s")), F.col("id") == F.col("s"), "left_semi")
         state = self.scratch.save(first.mapInArrow(_start, STATE), "state")
+        asked_for = max(1, len(rows))
         for _ in range(hops):
             opened = state.mapInArrow(_frontier(beam), "q long, o long").join(self.lists, F.col("o") == F.col("node")).select("q", F.col("list"))
             fresh = opened.groupBy("q").agg(F.array_distinct(F.flatten(F.collect_list("list"))).alias("met"))  # at most beam lists
             fresh = state.select("q", "seen").join(fresh.withColumnRenamed("q", "p"), F.col("q") == F.col("p")).mapInArrow(_unseen, "q long, c long")
             scored = fresh.join(self.nodes, F.col("c") == F.col("id")).select("q", "c", "unit").mapInArrow(_score(asked), "q long, c long, s float")
             gained = scored.groupBy(F.col("q").alias("p")).agg(F.collect_list("c").alias("cs"), F.collect_list("s").alias("ss"))
-            new = self.scratch.save(state.join(gained, F.col("q") == F.col("p"), "left").mapInArrow(_advance(beam, pool), STATE), "state")
+            new = self.scratch.save(state.join(gained, F.col("q") == F.col("p"), "left").mapInArrow(_advance(beam, pool, k), STATE), "state")
             self.scratch.drop(state)
             state = new
+            self.hops += 1
+            if state.where("moved").count() <= SETTLED * asked_for:
+                break
+        asked.unpersist()
         return state
 
 
-#: q; its best nodes, their similarity and whether they were opened; all nodes seen.
-STATE = "q long, near binary, sim binary, open binary, seen binary"
+#: q; its best nodes, their similarity and whether they were opened; all nodes seen; whether its nearest changed in the last hop.
+STATE = "q long, near binary, sim binary, open binary, seen binary, moved boolean"
 
 
 def _sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -322,13 +342,13 @@ def _sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _states(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), *(_binary([r[i] for r in rows]) for i in range(1, 5))], ["q", "near", "sim", "open", "seen"])
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), *(_binary([r[i] for r in rows]) for i in range(1, 5)), pa.array([r[5] for r in rows], pa.bool_())], ["q", "near", "sim", "open", "seen", "moved"])
 
 
 def _start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         near, sim = _arrays(batch.column("near"), np.int64), _arrays(batch.column("sim"), np.float32)
-        yield _states([(q, n, s, np.zeros(len(n), np.uint8), np.append(n, q)) for q, n, s in zip(batch.column("id").to_pylist(), near, sim, strict=True)])
+        yield _states([(q, n, s, np.zeros(len(n), np.uint8), np.append(n, q), True) for q, n, s in zip(batch.column("id").to_pylist(), near, sim, strict=True)])
 
 
 def _due(open_: np.ndarray, beam: int) -> np.ndarray:
@@ -365,7 +385,7 @@ def _score(asked):
     return run
 
 
-def _advance(beam: int, pool: int):
+def _advance(beam: int, pool: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
@@ -373,13 +393,14 @@ def _advance(beam: int, pool: int):
             for q, near, sim, opened, seen, c, s in zip(batch.column("q").to_pylist(), *cols, batch.column("cs"), batch.column("ss"), strict=True):
                 opened = opened.copy()
                 opened[_due(opened, beam)] = 1
+                before = near[:k]
                 if c.is_valid:
                     c, s = c.values.to_numpy(), s.values.to_numpy()
                     near, sim = np.append(near, c), np.append(sim, s)
                     opened, seen = np.append(opened, np.zeros(len(c), np.uint8)), np.append(seen, c)
                     order = np.lexsort((near, -sim))[:pool]
                     near, sim, opened = near[order], sim[order], opened[order]
-                rows.append((q, near, sim, opened, seen))
+                rows.append((q, near, sim, opened, seen, not np.array_equal(before, near[:k])))
             if rows:
                 yield _states(rows)
 
@@ -387,9 +408,13 @@ def _advance(beam: int, pool: int):
 
 
 def _first(k: int):
+    """The k nearest, and all that rounding may have put behind them."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            near = [x[:k] for x in _arrays(batch.column("near"), np.int64)]
+            near = []
+            for x, s in zip(_arrays(batch.column("near"), np.int64), _arrays(batch.column("sim"), np.float32), strict=True):
+                near.append(x[s >= np.sort(s)[::-1][min(k, len(s)) - 1] - ROUNDING] if len(s) else x)
             q = np.repeat(batch.column("q").to_numpy(), [len(x) for x in near])
             yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(np.concatenate(near) if near else [], pa.int64())], ["q", "c"])
 
