@@ -6,6 +6,8 @@ like. The SQL of a query tells the rows straight from the tables, so it shares n
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +18,7 @@ from ..operators import app_detectors as A
 from ..operators import chunks, graph, scanner, search, sync, typescript
 from ..operators import detectors as D
 from ..sources import files as sources
+from ..sources.scratch import Scratch
 from ..sources.tables import table
 from .catalogue import register
 
@@ -71,48 +74,56 @@ def app(spark: SparkSession, d: str) -> DataFrame:
     nation, region = table(spark, d, "nation"), table(spark, d, "region")
     n, r = _s("n_nationkey"), _s("r_regionkey")
 
-    def each(rows: DataFrame, key: Column, path: str, text: str = "") -> DataFrame:
-        return rows.select(_text(path, k=key).alias("path"), _text(text, k=key).alias("content"))
+    def each(key: Column, path: str, text: str = "") -> Column:
+        return F.struct(_text(path, k=key).alias("path"), _text(text, k=key).alias("content"))
 
-    def listed(rows: DataFrame, key: Column, path: str, head: str, line: str, tail: str = "", glue: str = "\n") -> DataFrame:
+    def listed(key: Column, path: str, head: str, line: str, tail: str = "", glue: str = "\n") -> Column:
         lines = F.array_join(F.sort_array(F.collect_list(_text(line, k=key))), glue)
-        return rows.agg(F.lit(path).alias("path"), F.concat(F.lit(head), lines, F.lit(tail)).alias("content"))
+        return F.struct(F.lit(path).alias("path"), F.concat(F.lit(head), lines, F.lit(tail)).alias("content"))
 
     category = F.when(F.col("r_regionkey") % 3 == 0, "OPENAI_").when(F.col("r_regionkey") % 3 == 1, "CLERK_").otherwise("ZZ_")
     env = F.concat(category, F.replace("r_name", F.lit(" "), F.lit("_")), F.lit("=1"))
-    parts = [
-        each(nation, n, "src/app/(main)/n{k}/page.tsx", "export default function Page{k}() {{}}"),
-        each(nation, n, "src/app/api/n{k}/route.ts", "export const POST = (r) => r\nexport async function GET(r) {{ return r }}\n"),
-        each(nation, n, "src/hooks/useN{k}.ts", "export function useN{k}(a: string, b = 2) {{}}"),
-        each(region, r, "src/store/r{k}/index.ts", "export const useR{k} = create(persist(() => 1))\nexport function act{k}(a) {{}}"),
-        each(region, r, "src/store/r{k}/slices/auth.ts"),
-        each(region, r, "src/services/region{k}.service.ts", "export const key{k} = 1\nexport function run{k}() {{}}"),
-        each(region, r, "scripts/s{k}.ts"),
-        each(region, r, "scripts/d{k}/a.ts"),
-        each(region, r, "src/libs/l{k}/x.ts"),
-        each(region, r, "src/libs/agent-runtime/p{k}/index.ts", "new ReadableStream(); image_url"),
-        each(region, r, "src/libs/next-auth/sso-providers/sso{k}.ts"),
-        each(region, r, "src/server/routers/lambda/r{k}.ts", "createTRPCRouter({{ list{k}: p.query(f), add{k}: p.input(x).mutation(g) }})"),
-        each(region, r, "src/server/modules/M{k}/index.ts", "export class Mod{k} {{}}\nexport async function run{k}() {{}}"),
-        each(region, r, "locales/en-US/r{k}.json"),
-        each(region, r, "src/locales/default/ns{k}.ts"),
-        region.agg(F.lit(".env.example").alias("path"), F.array_join(F.sort_array(F.collect_list(env)), "\n").alias("content")),
-        listed(region, r, "package.json", '{"dependencies": {"next": "^15.1.0", "@radix-ui/x": "1", "prisma": "6", ', '"pkg-r{k}": "^1.{k}.0"', '}, "devDependencies": {"zustand": "5"}}', ", "),
-        listed(nation, n, "prisma/schema.prisma", "", "model N{k} {{\n  id Int\n  name{k} String\n}}\n"),
-        listed(region, r, "src/middleware.ts", "export const config = { matcher: [", "'/r{k}'", "] }", ", "),
-        listed(region, r, "src/auth.ts", "NextAuth({ session: { strategy: 'jwt' } })\n", "// {k}"),
-        listed(region, r, ".i18nrc.js", "module.exports = { sourceLocale: 'en', outputLocales: [", "'l{k}'", "] }", ", "),
-        listed(region, r, "pnpm-lock.yaml", "", "{k}"),
-        listed(region, r, "tsconfig.json", "", "{k}"),
+    of_nation = [
+        each(n, "src/app/(main)/n{k}/page.tsx", "export default function Page{k}() {{}}"),
+        each(n, "src/app/api/n{k}/route.ts", "export const POST = (r) => r\nexport async function GET(r) {{ return r }}\n"),
+        each(n, "src/hooks/useN{k}.ts", "export function useN{k}(a: string, b = 2) {{}}"),
+    ]
+    of_region = [
+        each(r, "src/store/r{k}/index.ts", "export const useR{k} = create(persist(() => 1))\nexport function act{k}(a) {{}}"),
+        each(r, "src/store/r{k}/slices/auth.ts"),
+        each(r, "src/services/region{k}.service.ts", "export const key{k} = 1\nexport function run{k}() {{}}"),
+        each(r, "scripts/s{k}.ts"),
+        each(r, "scripts/d{k}/a.ts"),
+        each(r, "src/libs/l{k}/x.ts"),
+        each(r, "src/libs/agent-runtime/p{k}/index.ts", "new ReadableStream(); image_url"),
+        each(r, "src/libs/next-auth/sso-providers/sso{k}.ts"),
+        each(r, "src/server/routers/lambda/r{k}.ts", "createTRPCRouter({{ list{k}: p.query(f), add{k}: p.input(x).mutation(g) }})"),
+        each(r, "src/server/modules/M{k}/index.ts", "export class Mod{k} {{}}\nexport async function run{k}() {{}}"),
+        each(r, "locales/en-US/r{k}.json"),
+        each(r, "src/locales/default/ns{k}.ts"),
+    ]
+    of_regions = [
+        F.struct(F.lit(".env.example").alias("path"), F.array_join(F.sort_array(F.collect_list(env)), "\n").alias("content")),
+        listed(r, "package.json", '{"dependencies": {"next": "^15.1.0", "@radix-ui/x": "1", "prisma": "6", ', '"pkg-r{k}": "^1.{k}.0"', '}, "devDependencies": {"zustand": "5"}}', ", "),
+        listed(r, "src/middleware.ts", "export const config = { matcher: [", "'/r{k}'", "] }", ", "),
+        listed(r, "src/auth.ts", "NextAuth({ session: { strategy: 'jwt' } })\n", "// {k}"),
+        listed(r, ".i18nrc.js", "module.exports = { sourceLocale: 'en', outputLocales: [", "'l{k}'", "] }", ", "),
+        listed(r, "pnpm-lock.yaml", "", "{k}"),
+        listed(r, "tsconfig.json", "", "{k}"),
     ]
-    out = parts[0]
-    for more in parts[1:]:
-        out = out.unionByName(more)
-    return out
+    of_nations = [listed(n, "prisma/schema.prisma", "", "model N{k} {{\n  id Int\n  name{k} String\n}}\n")]
+    parts = [
+        nation.select(F.explode(F.array(*of_nation)).alias("f")),
+        region.select(F.explode(F.array(*of_region)).alias("f")),
+        region.agg(F.array(*of_regions).alias("f")).select(F.explode("f").alias("f")),
+        nation.agg(F.array(*of_nations).alias("f")).select(F.explode("f").alias("f")),
+    ]  # one scan each, as a graph's plan holds this many times
+    return reduce(DataFrame.unionByName, parts).select("f.*")
 
 
 def _extracted(spark: SparkSession, d: str) -> dict[str, DataFrame]:
-    out = typescript.extract_files(modules(spark, d).unionByName(views(spark, d))).persist()
+    """The relations, from a stored table: every file is read once, and a query reads the columns it needs."""
+    out = Scratch(spark, "extracted").save(typescript.extract_files(modules(spark, d).unionByName(views(spark, d))), "files")
     return {name: typescript.relation(out, name) for name in schemas.AST}
 
 
@@ -195,11 +206,20 @@ def extract_rejects(spark: SparkSession, d: str) -> DataFrame:
 # graph ------------------------------------------------------------------------------
 
 
-def _graph(spark: SparkSession, d: str) -> graph.Graph:
-    rel, other = _extracted(spark, d), app(spark, d)
+def _built(spark: SparkSession, d: str) -> graph.Graph:
+    """The graph over stored relations, for what reads its nodes and edges once. Only asked labels and relations are made."""
+    rel, other = _extracted(spark, d), Scratch(spark, "app").save(app(spark, d), "files")
     paths = modules(spark, d).unionByName(views(spark, d)).unionByName(other).select("path")
-    nodes, edges = graph.build(*(rel[x] for x in ("imports", "functions", "components", "types", "hooks", "calls")), routes=D.routes(other), services=D.services(other), stores=A.stores(other), files=paths)
-    return graph.Graph(nodes.persist(), edges.persist())  # a user's graph comes from stored tables
+    return graph.Graph(*graph.build(*(rel[x] for x in ("imports", "functions", "components", "types", "hooks", "calls")), routes=D.routes(other), services=D.services(other), stores=A.stores(other), files=paths))
+
+
+def _graph(spark: SparkSession, d: str, labels: tuple[str, ...] | None = None, rels: tuple[str, ...] | None = None) -> graph.Graph:
+    """The graph as stored tables, so that the plan of a question holds none of what builds it; of a question that
+    asks for certain labels and relations only, all nodes and edges of these."""
+    g, kept = _built(spark, d), Scratch(spark, "graph")
+    nodes = g.nodes if labels is None else g.nodes.where(F.col("label").isin(*labels))
+    edges = g.edges if rels is None else g.edges.where(F.col("rel").isin(*rels))
+    return graph.Graph(kept.save(nodes, "nodes") if labels != () else nodes, kept.save(edges, "edges"))
 
 
 _FILES = f"""SELECT file FROM ({_C}) UNION ALL SELECT file FROM ({_V}) UNION ALL SELECT unnest(['src/app/(main)/n' || n_nationkey || '/page.tsx', 'src/app/api/n' || n_nationkey || '/route.ts', 'src/hooks/useN' || n_nationkey || '.ts']) FROM nation
@@ -220,12 +240,12 @@ UNION ALL SELECT 'edge', rel, count(*) FROM (SELECT 'IMPORTS' AS rel FROM ({_IMP
  UNION ALL SELECT 'CALLS' FROM ({_CALLED}) UNION ALL SELECT 'USES_HOOK' FROM supplier, range(2) UNION ALL SELECT 'HAS_ROUTE' FROM nation, range(2) UNION ALL SELECT unnest(['BELONGS_TO', 'HAS_STORE']) FROM region) GROUP BY rel"""
 )
 def graph_totals(spark: SparkSession, d: str) -> DataFrame:
-    return _graph(spark, d).totals()
+    return _built(spark, d).totals()
 
 
 @register(f"SELECT 'CALLS' AS rel, src, dst FROM ({_CALLED}) UNION ALL SELECT 'IMPORTS', src, dst FROM ({_IMPORTED}) UNION ALL SELECT 'IMPORTS', file, 'pkg' || m FROM ({_C}) UNION ALL SELECT 'IMPORTS', file, 'react' FROM ({_V})")
 def graph_edges(spark: SparkSession, d: str) -> DataFrame:
-    return _graph(spark, d).listing().where("rel in ('CALLS', 'IMPORTS')").select("rel", "src", "dst")
+    return _built(spark, d).listing().where("rel in ('CALLS', 'IMPORTS')").select("rel", "src", "dst")
 
 
 @register(
@@ -233,38 +253,38 @@ def graph_edges(spark: SparkSession, d: str) -> DataFrame:
 UNION ALL SELECT file || '::own' || k || '::9', 'own' || k, 'function', 9, false, 'false', '' FROM ({_C}) UNION ALL SELECT file || '::S' || k || '::7', 'S' || k, 'function', 7, true, 'false', '' FROM ({_V}) UNION ALL SELECT file || '::w::9', 'w', 'arrow', 9, false, 'false', '' FROM ({_V})"""
 )
 def function_nodes(spark: SparkSession, d: str) -> DataFrame:
-    return _graph(spark, d).nodes.where("label = 'Function'").select("key", "name", "kind", "line", "exported", F.col("properties")["is_async"].alias("is_async"), F.col("properties")["params"].alias("params"))
+    return _built(spark, d).nodes.where("label = 'Function'").select("key", "name", "kind", "line", "exported", F.col("properties")["is_async"].alias("is_async"), F.col("properties")["params"].alias("params"))
 
 
 @register("SELECT '/n' || n_nationkey AS key, 'page' AS type, NULL AS methods FROM nation UNION ALL SELECT '/api/n' || n_nationkey, 'api', 'GET,POST' FROM nation")
 def route_nodes(spark: SparkSession, d: str) -> DataFrame:
-    return _graph(spark, d).nodes.where("label = 'Route'").select("key", F.col("properties")["type"].alias("type"), F.col("properties")["methods"].alias("methods"))
+    return _built(spark, d).nodes.where("label = 'Route'").select("key", F.col("properties")["type"].alias("type"), F.col("properties")["methods"].alias("methods"))
 
 
 @register("SELECT 'r' || r_regionkey AS key, 'auth' AS slices, 'persist' AS middleware FROM region")
 def store_nodes(spark: SparkSession, d: str) -> DataFrame:
-    return _graph(spark, d).nodes.where("label = 'Store'").select("key", F.col("properties")["slices"].alias("slices"), F.col("properties")["middleware"].alias("middleware"))
+    return _built(spark, d).nodes.where("label = 'Store'").select("key", F.col("properties")["slices"].alias("slices"), F.col("properties")["middleware"].alias("middleware"))
 
 
 @register("SELECT 'Region' || r_regionkey || 'Service' AS key, 'run' || r_regionkey || ',key' || r_regionkey AS exported_functions FROM region")
 def service_nodes(spark: SparkSession, d: str) -> DataFrame:
-    return _graph(spark, d).nodes.where("label = 'Service'").select("key", F.col("properties")["exported_functions"].alias("exported_functions"))
+    return _built(spark, d).nodes.where("label = 'Service'").select("key", F.col("properties")["exported_functions"].alias("exported_functions"))
 
 
 @register("SELECT NULL::VARCHAR AS label, NULL::VARCHAR AS key, NULL::BIGINT AS n WHERE false")
 def unique_keys(spark: SparkSession, d: str) -> DataFrame:
     """Must be empty: every node has a key of its own."""
-    return graph.duplicate_keys(_graph(spark, d).nodes)
+    return graph.duplicate_keys(_built(spark, d).nodes)
 
 
 @register(f"SELECT 'own1' AS name, callee, file FROM (SELECT 'g1' AS callee, 'src/lib/m1.ts' AS file UNION SELECT 'f' || n, 'src/lib/m' || n || '.ts' FROM ({_C}) WHERE k = 1)")
 def callees_of_function(spark: SparkSession, d: str) -> DataFrame:
-    return _graph(spark, d).callees("own1")
+    return _graph(spark, d, ("Function",), ("CALLS",)).callees("own1")
 
 
 @register(f"SELECT {_F.format('n')} AS key, 'f' || n AS name, 'src/lib/m' || n || '.ts' AS file, c AS callers FROM (SELECT n, count(*) AS c FROM (SELECT DISTINCT src, n FROM (SELECT file || '::own' AS src, n FROM ({_C}) UNION ALL SELECT file || '::w', n FROM ({_V}) UNION ALL SELECT file || '::g', k FROM ({_C}))) GROUP BY n) WHERE c > 5 ORDER BY callers DESC, key LIMIT 10")
 def most_called_functions(spark: SparkSession, d: str) -> DataFrame:
-    return _graph(spark, d).most_called()
+    return _graph(spark, d, ("Function",), ("CALLS",)).most_called()
 
 
 @register(
@@ -272,7 +292,7 @@ def most_called_functions(spark: SparkSession, d: str) -> DataFrame:
 SELECT a || '>' || b AS path, 1 AS length FROM p1 UNION ALL SELECT a || '>' || b || '>' || c, 2 FROM p2 UNION ALL SELECT a || '>' || b || '>' || c || '>' || x, 3 FROM p3"""
 )
 def import_chains(spark: SparkSession, d: str) -> DataFrame:
-    return _graph(spark, d).import_chains("src/components/S1.tsx", most=None).select(F.array_join("nodes", ">").alias("path"), "length")
+    return _graph(spark, d, (), ("IMPORTS",)).import_chains("src/components/S1.tsx", most=None).select(F.array_join("nodes", ">").alias("path"), "length")
 
 
 @register(
@@ -281,17 +301,17 @@ SELECT path AS cycle, n AS length FROM w WHERE last = start AND n >= 2"""
 )
 def circular_imports(spark: SparkSession, d: str) -> DataFrame:
     # each module imports one other, so a closed path of different edges meets no file twice
-    return _graph(spark, d).circular_imports(most=None).select(F.array_join("nodes", ">").alias("cycle"), "length")
+    return _graph(spark, d, (), ("IMPORTS",)).circular_imports(most=None).select(F.array_join("nodes", ">").alias("cycle"), "length")
 
 
 @register(f"SELECT file AS path FROM ({_FILES}) WHERE file NOT IN (SELECT src FROM ({_IMPORTED})) UNION ALL SELECT 'src/store/r' || r_regionkey FROM region")
 def orphan_files(spark: SparkSession, d: str) -> DataFrame:
-    return _graph(spark, d).orphan_files()
+    return _graph(spark, d, ("File",), ("IMPORTS",)).orphan_files()
 
 
 @register("SELECT 'src/app/api/n' || n_nationkey || '/route.ts' AS path, '/api/n' || n_nationkey AS route, 'GET,POST' AS methods FROM nation")
 def routes_under_prefix(spark: SparkSession, d: str) -> DataFrame:
-    return _graph(spark, d).routes_under("src/app/api/")
+    return _graph(spark, d, ("File", "Route"), ("HAS_ROUTE",)).routes_under("src/app/api/")
 
 
 def _with_app(spark: SparkSession, d: str) -> graph.Graph:
@@ -319,17 +339,17 @@ def store_usage(spark: SparkSession, d: str) -> DataFrame:
 
 @register(f"SELECT module, count(*) AS files FROM (SELECT 'pkg' || m AS module FROM ({_C}) UNION ALL SELECT 'react' FROM ({_V})) GROUP BY 1 ORDER BY files DESC, module LIMIT 10")
 def top_modules(spark: SparkSession, d: str) -> DataFrame:
-    return _graph(spark, d).modules(10)
+    return _graph(spark, d, ("File", "Module"), ("IMPORTS",)).modules(10)
 
 
 @register("SELECT hook, 'Function' AS entity, count(*) AS n FROM (SELECT unnest(['useState', 'useMemo']) AS hook FROM supplier) GROUP BY hook")
 def hook_usage_by_entity(spark: SparkSession, d: str) -> DataFrame:
-    return _graph(spark, d).hook_usage()
+    return _graph(spark, d, ("Function", "Component", "Hook"), ("USES_HOOK",)).hook_usage()
 
 
 @register(f"SELECT 'S' || k AS name, file, 2::BIGINT AS dependencies FROM ({_V})")
 def busy_components(spark: SparkSession, d: str) -> DataFrame:
-    return _graph(spark, d).busy_components(1)
+    return _graph(spark, d, ("Component", "File"), ("DEFINES", "IMPORTS")).busy_components(1)
 
 
 def _component_hooks(spark: SparkSession, d: str) -> graph.Graph:
@@ -358,12 +378,12 @@ def components_using_hook(spark: SparkSession, d: str) -> DataFrame:
 @register(f"SELECT n AS nation, count(*) AS importers FROM ({_C}) GROUP BY n")
 def graph_sql(spark: SparkSession, d: str) -> DataFrame:
     sql = "SELECT CAST(regexp_extract(dst, 'm([0-9]+)', 1) AS INT) AS nation, count(*) AS importers FROM {edges} WHERE rel = :rel AND dst_label = 'File' AND src LIKE 'src/lib/%' GROUP BY 1"
-    return _graph(spark, d).query(sql, rel="IMPORTS")
+    return _graph(spark, d, (), ("IMPORTS",)).query(sql, rel="IMPORTS")
 
 
 @register(f"SELECT file AS src, 'src/lib/m' || n || '.ts' AS dst FROM ({_C}) WHERE n > 0 UNION SELECT file, 'src/lib/m' || n || '.ts' FROM ({_V})")
 def import_hops(spark: SparkSession, d: str) -> DataFrame:
-    return _graph(spark, d).hop("IMPORTS", "File", "File").select(F.col("a.key").alias("src"), F.col("b.key").alias("dst"))
+    return _graph(spark, d, ("File",), ("IMPORTS",)).hop("IMPORTS", "File", "File").select(F.col("a.key").alias("src"), F.col("b.key").alias("dst"))
 
 
 @register(f"SELECT 'File' AS label, count(*) AS n FROM ({_FILES}) WHERE file NOT LIKE 'src/components/%' UNION ALL SELECT 'Module', count(DISTINCT c_nationkey) FROM customer")

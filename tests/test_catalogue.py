@@ -36,3 +36,10 @@ def test_query(spark, duck, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+@pytest.mark.parametrize("name", ["busy_components", "circular_imports", "graph_after_deletion", "graph_sql", "graph_totals", "import_chains", "import_hops", "most_called_functions", "orphan_files", "routes_under_prefix"])
+def test_plan_of_a_question_holds_no_extraction(spark, name):
+    # a cached graph puts all that builds it into the plan, at every place that reads it
+    plan = entry.queries()[name](spark, DIR)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapIn" not in plan and len(plan) < 100_000

@@ -211,3 +211,10 @@ def test_odd_files_are_reported(spark, monkeypatch):
     out = typescript.extract_files(files)
     assert [tuple(r) for r in typescript.rejects(out).collect()] == [("b.ts", "not valid UTF-8")]
     assert [r.callee for r in typescript.relation(out, "calls").collect()] == ["f"]
+
+
+def test_extraction_is_spread(spark):
+    files = spark.createDataFrame([(f"{i}.ts", f"f{i}()") for i in range(200)], "path string, content string").coalesce(1)
+    out = typescript.extract_files(files)
+    assert out.select(F.spark_partition_id().alias("p")).distinct().count() > 1
+    assert typescript.relation(out, "calls").count() == 200
