@@ -104,11 +104,21 @@ def preview(text: Column | str, lines: int = 3, width: int = 120) -> Column:
     return F.array_join(F.transform(F.slice(full, 1, lines), lambda x: F.when(F.length(x) > width, F.concat(F.left(x, F.lit(width)), F.lit("..."))).otherwise(x)), "\n")
 
 
-def source_lines(text: Column | str, first: Column, count: int) -> Column:
-    """Lines ``first`` (from 1) to ``first + count - 1``; past the end they are cut off, a bad start gives ''."""
+def lines_of(text: Column | str) -> Column:
+    """The lines of a text; an end of line at its end begins no other."""
     parts = F.split(_c(text), LINE_ENDS)
-    parts = F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
-    return F.when((first >= 1) & (first <= F.size(parts)), F.array_join(F.slice(parts, first.cast("int"), count), "\n")).otherwise("")
+    return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+
+
+def lines_from(lines: Column | str, first: Column, count: int) -> Column:
+    """Lines ``first`` (from 1) to ``first + count - 1``; past the end they are cut off, a bad start gives ''."""
+    lines = _c(lines)
+    return F.when((first >= 1) & (first <= F.size(lines)), F.array_join(F.slice(lines, first.cast("int"), count), "\n")).otherwise("")
+
+
+def source_lines(text: Column | str, first: Column, count: int) -> Column:
+    """As :func:`lines_from`, of a text."""
+    return lines_from(lines_of(text), first, count)
 
 
 #: Name prefixes of environment variables by category, the first that fits (fixed values).

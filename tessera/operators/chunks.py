@@ -15,10 +15,11 @@ MOST = 2000
 def of_relation(rows: DataFrame, files: DataFrame, chunk_type: str) -> DataFrame:
     """Chunks of one relation; rows without file or line (and, but for functions, name) are left out."""
     kept = rows.where("file is not null and line is not null" + ("" if chunk_type == "function" else " and name is not null"))
-    src = files.select(F.col("path").alias("file"), "content")
+    # split below the join, once a file: above it Spark would repeat the split wherever body and lead stand
+    src = files.select(F.col("path").alias("file"), S.lines_of("content").alias("_lines"))
     joined = kept.select("file", F.coalesce("name", F.lit("anonymous")).alias("name"), "line", "exported").join(src, "file")
-    body = S.source_lines("content", F.col("line"), LINES[chunk_type])
-    lead = F.when(F.col("line") > 3, S.source_lines("content", F.col("line") - 3, 3)).otherwise("")
+    body = S.lines_from("_lines", F.col("line"), LINES[chunk_type])
+    lead = F.when(F.col("line") > 3, S.lines_from("_lines", F.col("line") - 3, 3)).otherwise("")
     body = F.when(lead.contains("/**") | lead.contains("//"), F.concat(lead, F.lit("\n"), body)).otherwise(body)
     text, cut = S.truncated("body", MOST)
     named = joined.withColumn("body", body).where("body != ''")

@@ -218,3 +218,11 @@ def test_extraction_is_spread(spark):
     out = typescript.extract_files(files)
     assert out.select(F.spark_partition_id().alias("p")).distinct().count() > 1
     assert typescript.relation(out, "calls").count() == 200
+
+
+def test_chunks_split_a_file_once(spark):
+    files = spark.createDataFrame([("a.ts", "// x\n\n\nf()\ng()\n")], "path string, content string")
+    rows = spark.createDataFrame([("a.ts", "f", 4, True)], "file string, name string, line int, exported boolean")
+    out = chunks.of_relation(rows, files, "function")
+    assert [r.text for r in out.collect()] == ["// x\n\n\nf()\ng()"]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("split(") <= 4  # as lines_of has them
