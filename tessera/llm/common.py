@@ -9,7 +9,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.scratch import Scratch, delete, shared_dir, small_batches  # noqa: F401  used by the operators from here
+from ..sources.scratch import Scratch, delete, merged, shared_dir, small_batches  # noqa: F401  used by the operators from here
 
 #: Words as the contracts define them.
 NON_SPACE_WORDS = r"[^\x20\x09-\x0D]+"
@@ -65,10 +65,5 @@ def with_key(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str = "te
     return docs.withColumn(key, own).drop("_tessera_sub")
 
 
-def merged(df: DataFrame) -> DataFrame:
-    """Joined by sorting, whatever its size, so that small inputs run the plan of large ones and nothing unbounded is broadcast."""
-    return df.hint("merge")
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -2,6 +2,9 @@
 
 What only some labels have (route type, methods, parameters, ...) lies in ``properties``, a map of strings with lists
 joined by commas. Keys are unique within a label: of several rows the last wins, by the order of relations, then file and line.
+
+Both sides of a join grow with the repository, so joins sort: Spark judges a table by its files, and in these millions of
+alike paths take a few MB, which it would broadcast from the driver.
 """
 
 from __future__ import annotations
@@ -13,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..sources.scratch import merged
 
 PROPERTIES = "map<string,string>"
 NODE_COLUMNS = ["label", "key", "file", "name", "kind", "line", "exported", "properties"]
@@ -40,14 +44,14 @@ def matched(edges_: DataFrame, nodes: DataFrame, ends: tuple[str, ...] = ("src",
     """Edges both of whose ends are nodes; the others are dropped."""
     for end in ends:
         at = nodes.select(F.col("label").alias(f"{end}_label"), F.col("key").alias(end))
-        edges_ = edges_.join(at, [f"{end}_label", end], "left_semi")
+        edges_ = edges_.join(merged(at), [f"{end}_label", end], "left_semi")
     return edges_.select(*EDGE_COLUMNS)
 
 
 def with_endpoints(nodes: DataFrame, edges_: DataFrame) -> DataFrame:
     """Nodes, and a bare node for each end of an edge that is none yet."""
     ends = edges_.select(F.col("src_label").alias("label"), F.col("src").alias("key")).union(edges_.select("dst_label", "dst")).distinct()
-    missing = ends.join(nodes, ["label", "key"], "left_anti")
+    missing = ends.join(merged(nodes), ["label", "key"], "left_anti")
     return nodes.unionByName(missing.withColumn("properties", F.from_json(F.lit("{}"), PROPERTIES)), allowMissingColumns=True)
 
 
@@ -76,14 +80,14 @@ def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
     steps = F.aggregate(F.split(base, "/"), F.array().cast("array<string>"), lambda a, x: F.when((x == "") | (x == "."), a).when((x == "..") & (F.size(a) > 0), F.slice(a, 1, F.size(a) - 1)).otherwise(F.concat(a, F.array(x))))
     tried = local.withColumn("_base", F.array_join(steps, "/"))
     tried = tried.select("file", "source", "_base", F.posexplode(F.array(*[F.lit(x) for x in SUFFIXES])).alias("_rank", "_suffix")).withColumn("path", F.concat("_base", "_suffix"))
-    hit = tried.join(files.select("path").distinct(), "path")
+    hit = tried.join(merged(files.select("path").distinct()), "path")
     return hit.groupBy("file", "source").agg(F.min_by("path", "_rank").alias("target"))
 
 
 def resolve_caller(calls: DataFrame, functions: DataFrame) -> DataFrame:
     """As-of join: of the functions with the call's file and caller name, the last that begins at or before the call."""
     defs = functions.where("name is not null").select(F.col("file").alias("f"), F.col("name").alias("n"), F.col("line").alias("def_line"), function_id().alias("caller_id"))
-    hit = calls.join(defs, (calls["file"] == defs["f"]) & (calls["caller"] == defs["n"]) & (defs["def_line"] <= calls["line"]))
+    hit = calls.join(merged(defs), (calls["file"] == defs["f"]) & (calls["caller"] == defs["n"]) & (defs["def_line"] <= calls["line"]))
     return hit.groupBy(*calls.columns).agg(F.max_by("caller_id", "def_line").alias("caller_id"))
 
 
@@ -93,7 +97,7 @@ def resolve_callee(calls: DataFrame, functions: DataFrame) -> DataFrame:
     # the only candidates are the least (line) in each file and the least (file, line) of all
     own = defs.groupBy("f", "n").agg(F.min_by("callee_id", "def_line").alias("own_id"))
     any_ = defs.groupBy(F.col("n").alias("m")).agg(F.min_by("callee_id", F.struct("f", "def_line")).alias("any_id"))
-    out = calls.join(own, (calls["file"] == own["f"]) & (calls["callee"] == own["n"]), "left").join(any_, calls["callee"] == any_["m"], "left")
+    out = calls.join(merged(own), (calls["file"] == own["f"]) & (calls["callee"] == own["n"]), "left").join(merged(any_), calls["callee"] == any_["m"], "left")
     return out.withColumn("callee_id", F.coalesce("own_id", "any_id")).where("callee_id is not null").select(*calls.columns, "callee_id")
 
 
@@ -104,7 +108,7 @@ def build(imports: DataFrame, functions: DataFrame, components: DataFrame, types
     files = seen if files is None else files.select("path").union(seen).distinct()
     resolved = resolve_imports(imports, files)
     package = imports.where((F.col("import_kind") == "external") | ((F.col("import_kind") == "alias") & ~F.col("source").rlike(r"^[@~]/")))
-    defined = hooks.select("name").distinct().join(named.select("name", "file", "line"), "name").groupBy("name").agg(F.max_by("file", F.struct("file", "line")).alias("file"))
+    defined = hooks.select("name").distinct().join(merged(named.select("name", "file", "line")), "name").groupBy("name").agg(F.max_by("file", F.struct("file", "line")).alias("file"))
     whole = {c: F.col(c) for c in ("file", "name", "kind", "line", "exported")}
     nodes = [
         _nodes(files, "File", F.col("path")),
@@ -118,7 +122,7 @@ def build(imports: DataFrame, functions: DataFrame, components: DataFrame, types
     used = hooks.where("caller is not null").select("file", "caller", "line", F.col("name").alias("hook"))
     by_function = resolve_caller(used, functions)
     comps = components.select(F.col("file").alias("f"), F.col("name").alias("n"), component_id().alias("component")).distinct()
-    using = used.join(by_function, used.columns, "left").join(comps, (F.col("file") == F.col("f")) & (F.col("caller") == F.col("n")), "left").where("caller_id is not null or component is not null")
+    using = used.join(merged(by_function), used.columns, "left").join(merged(comps), (F.col("file") == F.col("f")) & (F.col("caller") == F.col("n")), "left").where("caller_id is not null or component is not null")
     rel = [
         edges(resolved, "IMPORTS", "File", F.col("file"), "File", F.col("target")),
         edges(package, "IMPORTS", "File", F.col("file"), "Module", F.col("source")),
@@ -247,8 +251,8 @@ def hop(nodes: DataFrame, edges_: DataFrame, rel: str, src_label: str | None = N
     held = [F.col(c) == v for c, v in (("src_label", src_label), ("dst_label", dst_label)) if v]
     e = e.where(reduce(and_, held)) if held else e
     node = lambda s: nodes.select(F.col("label").alias(f"{s}_l"), F.col("key").alias(f"{s}_k"), F.struct(*nodes.columns).alias(s))
-    e = e.join(node("a"), (F.col("src_label") == F.col("a_l")) & (F.col("src") == F.col("a_k")))
-    return e.join(node("b"), (F.col("dst_label") == F.col("b_l")) & (F.col("dst") == F.col("b_k"))).select("a", "b")
+    e = e.join(merged(node("a")), (F.col("src_label") == F.col("a_l")) & (F.col("src") == F.col("a_k")))
+    return e.join(merged(node("b")), (F.col("dst_label") == F.col("b_l")) & (F.col("dst") == F.col("b_k"))).select("a", "b")
 
 
 class Graph:
@@ -325,7 +329,7 @@ class Graph:
     def busy_components(self, more_than: int = 10) -> DataFrame:
         owner = self.hop("DEFINES", "Component", "File", undirected=True).select("a.name", "a.file", F.col("b.key").alias("path"))
         imported = self.edges.where("rel = 'IMPORTS'").groupBy(F.col("src").alias("path")).agg(F.count("*").alias("dependencies"))
-        return owner.join(imported, "path").where(F.col("dependencies") > more_than).select("name", "file", "dependencies").orderBy(F.desc("dependencies"), "name", "file")
+        return owner.join(merged(imported), "path").where(F.col("dependencies") > more_than).select("name", "file", "dependencies").orderBy(F.desc("dependencies"), "name", "file")
 
     def hooks_of_components(self) -> DataFrame:
         used = self.hop("USES_HOOK", "Component", "Hook").groupBy(F.col("a.key").alias("key"), F.col("a.name").alias("name"))

@@ -7,6 +7,7 @@ import pytest
 
 import __spark_entry__ as entry
 from tessera.plans import catalogue
+from tessera.sources.scratch import Scratch
 
 DIR = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DIR), reason="no test tables here")
@@ -43,3 +44,14 @@ def test_plan_of_a_question_holds_no_extraction(spark, name):
     # a cached graph puts all that builds it into the plan, at every place that reads it
     plan = entry.queries()[name](spark, DIR)._jdf.queryExecution().optimizedPlan().toString()
     assert "MapIn" not in plan and len(plan) < 100_000
+
+
+@pytest.mark.parametrize("name", ["busy_components"])
+def test_no_join_is_left_to_be_broadcast(spark, monkeypatch, name):
+    # of a large graph, too, the stored tables are small as files, and Spark would send them through the driver
+    plans, save = [], Scratch.save
+    noted = lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+    monkeypatch.setattr(Scratch, "save", lambda self, df, to: (noted(df), save(self, df, to))[1])
+    noted(entry.queries()[name](spark, DIR))
+    joins = [line for plan in plans for line in plan.splitlines() if " Join " in line or line.startswith("Join ")]
+    assert joins and [line for line in joins if "strategy=" not in line] == []
