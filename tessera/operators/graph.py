@@ -196,19 +196,19 @@ def orphans(nodes: DataFrame, edges_: DataFrame, key: str = "key") -> DataFrame:
 def unused(nodes: DataFrame, edges_: DataFrame, label: str) -> DataFrame:
     """Nodes of a label that no edge leads to."""
     into = edges_.where(F.col("dst_label") == label).select(F.col("dst").alias("key")).distinct()
-    return nodes.where(F.col("label") == label).join(into, "key", "left_anti")
+    return nodes.where(F.col("label") == label).join(merged(into), "key", "left_anti")
 
 
 def delete_files(nodes: DataFrame, edges_: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Remove files with what they define; modules and hooks go when nothing leads to them any more."""
     gone = files.select(F.lit("File").alias("label"), F.col("path").alias("key"))
-    owned = edges_.where("rel = 'DEFINES' and dst_label != 'Hook'").join(files.select(F.col("path").alias("src")), "src", "left_semi").select(F.col("dst_label").alias("label"), F.col("dst").alias("key"))
+    owned = edges_.where("rel = 'DEFINES' and dst_label != 'Hook'").join(merged(files.select(F.col("path").alias("src"))), "src", "left_semi").select(F.col("dst_label").alias("label"), F.col("dst").alias("key"))
     gone = gone.union(owned).distinct()
-    left = edges_.join(gone.select(F.col("label").alias("src_label"), F.col("key").alias("src")), ["src_label", "src"], "left_anti")
-    left = left.join(gone.select(F.col("label").alias("dst_label"), F.col("key").alias("dst")), ["dst_label", "dst"], "left_anti").select(*EDGE_COLUMNS)
-    rest = nodes.join(gone, ["label", "key"], "left_anti").select(*nodes.columns)
+    left = edges_.join(merged(gone.select(F.col("label").alias("src_label"), F.col("key").alias("src"))), ["src_label", "src"], "left_anti")
+    left = left.join(merged(gone.select(F.col("label").alias("dst_label"), F.col("key").alias("dst"))), ["dst_label", "dst"], "left_anti").select(*EDGE_COLUMNS)
+    rest = nodes.join(merged(gone), ["label", "key"], "left_anti").select(*nodes.columns)
     loose = unused(rest, left, "Module").unionByName(unused(rest, left, "Hook")).select("label", "key")
-    return rest.join(loose, ["label", "key"], "left_anti").select(*nodes.columns), left
+    return rest.join(merged(loose), ["label", "key"], "left_anti").select(*nodes.columns), left
 
 
 def nested_calls(calls: DataFrame, order: str = "line") -> DataFrame:
