@@ -158,7 +158,7 @@ def _trails(edges_: DataFrame, start: Column, longest: int) -> list[DataFrame]:
     now = e.where(start).select(F.array("src", "dst").alias("nodes"), F.col("dst").alias("last"), F.array("edge").alias("taken"))
     out = [now]
     for _ in range(longest - 1):
-        now = now.join(e, (F.col("last") == F.col("src")) & ~F.array_contains("taken", F.col("edge")))
+        now = now.join(merged(e), (F.col("last") == F.col("src")) & ~F.array_contains("taken", F.col("edge")))
         now = now.select(F.concat("nodes", F.array("dst")).alias("nodes"), F.col("dst").alias("last"), F.concat("taken", F.array("edge")).alias("taken"))
         out.append(now)
     return out
