@@ -190,7 +190,7 @@ def cycles(edges_: DataFrame, shortest: int = 2, longest: int = 5) -> DataFrame:
 
 def orphans(nodes: DataFrame, edges_: DataFrame, key: str = "key") -> DataFrame:
     """Nodes without an edge in either direction."""
-    return nodes.join(edges_.select(F.col("src").alias(key)), key, "left_anti").join(edges_.select(F.col("dst").alias(key)), key, "left_anti")
+    return nodes.join(merged(edges_.select(F.col("src").alias(key))), key, "left_anti").join(merged(edges_.select(F.col("dst").alias(key))), key, "left_anti")
 
 
 def unused(nodes: DataFrame, edges_: DataFrame, label: str) -> DataFrame:
