@@ -177,13 +177,13 @@ def cycles(edges_: DataFrame, shortest: int = 2, longest: int = 5) -> DataFrame:
     A cycle is two halves that meet at both ends, so only paths of half its length are made, and only
     of edges between nodes that have edges in and out; these are kept in the cache, as every step reads them."""
     e = edges_.select("src", "dst").distinct()
-    e = e.join(edges_.select(F.col("src").alias("x")), F.col("dst") == F.col("x"), "left_semi").join(edges_.select(F.col("dst").alias("x")), F.col("src") == F.col("x"), "left_semi").persist()
+    e = e.join(merged(edges_.select(F.col("src").alias("x"))), F.col("dst") == F.col("x"), "left_semi").join(merged(edges_.select(F.col("dst").alias("x"))), F.col("src") == F.col("x"), "left_semi").persist()
     trails = _trails(e, F.lit(True), max(1, (longest + 1) // 2))
     found = [trails[0].where(F.col("nodes")[0] == F.col("last")).select("nodes")] if shortest <= 1 else []
     for n in range(max(2, shortest), longest + 1):
         a = trails[(n + 1) // 2 - 1].select(F.col("nodes").alias("head"), F.col("nodes")[0].alias("a"), F.col("last").alias("b"), F.col("taken").alias("t"))
         b = trails[n // 2 - 1].select("nodes", F.col("nodes")[0].alias("c"), F.col("last").alias("d"), "taken")
-        both = a.join(b, (F.col("b") == F.col("c")) & (F.col("a") == F.col("d")) & ~F.arrays_overlap("t", "taken"))
+        both = a.join(merged(b), (F.col("b") == F.col("c")) & (F.col("a") == F.col("d")) & ~F.arrays_overlap("t", "taken"))
         found.append(both.select(F.concat("head", F.slice("nodes", 2, n // 2)).alias("nodes")))
     return reduce(lambda x, y: x.union(y), found).select("nodes", (F.size("nodes") - 1).alias("length"))
 
