@@ -39,14 +39,14 @@ def test_entry(spark):
     assert entry.entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", ["busy_components", "graph_after_deletion", "import_chains", "orphan_files", "circular_imports", "graph_totals", "most_called_functions", "graph_sql"])
+@pytest.mark.parametrize("name", ["busy_components", "graph_after_deletion", "import_chains", "orphan_files", "circular_imports", "graph_totals", "most_called_functions", "graph_sql", "import_hops"])
 def test_plan_of_a_question_holds_no_extraction(spark, name):
     # a cached graph puts all that builds it into the plan, at every place that reads it
     plan = entry.queries()[name](spark, DIR)._jdf.queryExecution().optimizedPlan().toString()
     assert "MapIn" not in plan and len(plan) < 100_000
 
 
-@pytest.mark.parametrize("name", ["busy_components", "graph_after_deletion", "import_chains", "orphan_files", "circular_imports", "graph_totals", "most_called_functions", "graph_sql"])
+@pytest.mark.parametrize("name", ["busy_components", "graph_after_deletion", "import_chains", "orphan_files", "circular_imports", "graph_totals", "most_called_functions", "graph_sql", "import_hops"])
 def test_no_join_is_left_to_be_broadcast(spark, monkeypatch, name):
     # of a large graph, too, the stored tables are small as files, and Spark would send them through the driver
     plans, save = [], Scratch.save
