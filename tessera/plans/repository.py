@@ -213,13 +213,22 @@ def _built(spark: SparkSession, d: str) -> graph.Graph:
     return graph.Graph(*graph.build(*(rel[x] for x in ("imports", "functions", "components", "types", "hooks", "calls")), routes=D.routes(other), services=D.services(other), stores=A.stores(other), files=paths))
 
 
+LABELS = ("File", "Function", "Component", "Type", "Hook", "Module", "Route", "Service", "Store")
+RELS = ("IMPORTS", "DEFINES", "CALLS", "USES_HOOK", "HAS_ROUTE", "BELONGS_TO", "HAS_STORE")
+
+
 def _graph(spark: SparkSession, d: str, labels: tuple[str, ...] | None = None, rels: tuple[str, ...] | None = None) -> graph.Graph:
     """The graph as stored tables, so that the plan of a question holds none of what builds it; of a question that
     asks for certain labels and relations only, all nodes and edges of these."""
     g, kept = _built(spark, d), Scratch(spark, "graph")
-    nodes = g.nodes if labels is None else g.nodes.where(F.col("label").isin(*labels))
-    edges = g.edges if rels is None else g.edges.where(F.col("rel").isin(*rels))
-    return graph.Graph(kept.save(nodes, "nodes") if labels != () else nodes, kept.save(edges, "edges"))
+
+    def stored(rows: DataFrame, kind: str, asked: tuple[str, ...] | None, known: tuple[str, ...], name: str) -> DataFrame:
+        """One label or relation at a time, as the driver's memory grows with a plan; a last part has those not known here."""
+        parts = [F.col(kind) == x for x in (known if asked is None else asked)] + ([~F.col(kind).isin(*known)] if asked is None else [])
+        return spark.read.schema(rows.schema).parquet(*[kept.save(rows.where(x), name)._tessera_path for x in parts])
+
+    nodes = g.nodes if labels == () else stored(g.nodes, "label", labels, LABELS, "nodes")
+    return graph.Graph(nodes, stored(g.edges, "rel", rels, RELS, "edges"))
 
 
 _FILES = f"""SELECT file FROM ({_C}) UNION ALL SELECT file FROM ({_V}) UNION ALL SELECT unnest(['src/app/(main)/n' || n_nationkey || '/page.tsx', 'src/app/api/n' || n_nationkey || '/route.ts', 'src/hooks/useN' || n_nationkey || '.ts']) FROM nation
